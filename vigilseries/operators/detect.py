@@ -95,7 +95,12 @@ def _detection_rows(
 def alerts(detections: DataFrame, now: int, cfg: DetectorConfig) -> DataFrame:
     """Messages for flagged rows only: ``topic, application, body``. ``metrics`` is a list in
     multivariate alerts and a name in univariate ones."""
-    when = F.date_format(F.timestamp_seconds(F.lit(now)), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return alerts_at(detections, F.lit(now), cfg)
+
+
+def alerts_at(detections: DataFrame, now: Column, cfg: DetectorConfig) -> DataFrame:
+    utc = F.to_utc_timestamp(F.timestamp_seconds(now), F.current_timezone())
+    when = F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
     def body(metrics: Column) -> Column:
         return F.to_json(

@@ -123,6 +123,11 @@ class TrainingRun:
         )
 
 
+    @property
+    def models_without_nsa(self) -> Models:
+        return Models(self.gated, self.selected, None, self.kmeans_models)
+
+
 def train(points: DataFrame, now: int, cfg: DetectorConfig) -> Models:
     """Model tables of every instance with usable data."""
     return TrainingRun(points, now, cfg).models
