@@ -130,7 +130,7 @@ def alerts_at(detections: DataFrame, now: Column, cfg: DetectorConfig) -> DataFr
 
 
 def model_for_cycle(cycles: DataFrame, models: DataFrame, cfg: DetectorConfig) -> DataFrame:
-    """The newest model trained at or before a cycle, at most ``cycles_per_model`` cycles old.
+    """The newest model trained at or before a cycle that has not yet served its cycles.
 
     A model serves a fixed number of cycle slots, so it is listed under each of them and found by
     equality; no cycle is compared with all models. ``cycles`` has ``cycle_at`` on multiples of the
@@ -138,8 +138,7 @@ def model_for_cycle(cycles: DataFrame, models: DataFrame, cfg: DetectorConfig) -
     """
     h = cfg.horizon
     first = F.ceil(F.col("trained_at") / h) * h
-    last = F.floor((F.col("trained_at") + cfg.cycles_per_model * h) / h) * h
-    slots = F.explode(F.sequence(first, last, F.lit(h).cast("long")))
+    slots = F.explode(F.array(*[first + i * h for i in range(cfg.cycles_per_model)]))
     newest = (
         models.select(*INSTANCE, "model_id", "trained_at", slots.alias("cycle_at"))
         .groupBy(*INSTANCE, "cycle_at")

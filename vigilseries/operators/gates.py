@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vigilseries.functions.columns import INSTANCE, SERIES
 from vigilseries.functions.quantiles import grouped_quantiles
+from vigilseries.functions.storage import materialise
 
 
 def enough_records(points: DataFrame, min_records: int) -> DataFrame:
@@ -61,10 +62,12 @@ def remove_outliers_iqr(
     """Keep rows inside the inter-quantile fences of every column, one column after the other.
 
     The quantiles of a column are taken from the rows the earlier columns left over. A column
-    without quantiles or without spread is skipped together with its manual bounds.
+    without quantiles or without spread is skipped together with its manual bounds. What is left
+    after a column is written once, since the next one reads it several times.
     """
     lower, upper = lower or {}, upper or {}
     for name in columns:
+        wide = materialise(wide, "outliers")
         fences = grouped_quantiles(
             wide, keys, name, [lower_quantile, upper_quantile], rows_per_key, "_q"
         )

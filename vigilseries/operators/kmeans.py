@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from vigilseries.config import DetectorConfig
 from vigilseries.functions.columns import INSTANCE, SERIES, euclidean
-from vigilseries.functions.quantiles import IN_MEMORY_ROWS, grouped_quantiles
+from vigilseries.functions.quantiles import IN_MEMORY_ROWS, bracketed_quantiles
 from vigilseries.functions.storage import materialise
 from vigilseries.operators.features import lag_columns
 
@@ -128,13 +128,19 @@ def thresholds(scored: DataFrame, percentile: float, steps: int | None = None) -
 
     Normalising keeps the order, so the percentile is taken from the raw scores.
     """
-    ranges = score_range(scored)
-    cut = grouped_quantiles(scored, SERIES, "raw", [percentile / 100], steps, "cut")
     width = F.col("raw_max") - F.col("raw_min")
-    level = F.when(width > 0, (F.col("cut")[0] - F.col("raw_min")) / width).otherwise(F.lit(1.0))
-    return ranges.join(cut, [*SERIES]).select(
-        *SERIES, "raw_min", "raw_max", level.alias("threshold")
-    )
+    level = F.when(width > 0, (F.col("cut") - F.col("raw_min")) / width).otherwise(F.lit(1.0))
+    p = percentile / 100
+    if steps is not None and steps <= IN_MEMORY_ROWS:
+        limits = scored.groupBy(*SERIES).agg(
+            F.min("raw").alias("raw_min"),
+            F.max("raw").alias("raw_max"),
+            F.percentile("raw", F.lit(p)).alias("cut"),
+        )
+    else:
+        cut = bracketed_quantiles(scored, SERIES, "raw", [p], "cuts")
+        limits = score_range(scored).join(cut, [*SERIES]).withColumn("cut", F.col("cuts")[0])
+    return limits.select(*SERIES, "raw_min", "raw_max", level.alias("threshold"))
 
 
 def train(features: DataFrame, cfg: DetectorConfig, steps: int | None = None) -> DataFrame:

@@ -30,14 +30,17 @@ BLOCK = 2048
 def squared_distances(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Sums of squared differences, dimension by dimension (exactly 0 for equal points)."""
     total = np.zeros((len(left), len(right)))
-    for d in range(left.shape[1]):
-        step = left[:, d, None] - right[None, :, d]
-        total += step * step
+    step = np.empty_like(total)
+    for a, b in zip(left.T, right.T, strict=True):
+        np.subtract(a[:, None], b[None, :], out=step)
+        np.multiply(step, step, out=step)
+        total += step
     return total
 
 
 def _slices(n_queries: int, n_refs: int):
-    size = max(1, 400_000 // max(n_refs, 1))
+    """Query slices whose distance matrix stays in the processor cache."""
+    size = max(1, 65_536 // max(n_refs, 1))
     return (slice(i, min(i + size, n_queries)) for i in range(0, n_queries, size))
 
 
@@ -45,7 +48,7 @@ def _meet(
     queries: DataFrame,
     refs: DataFrame,
     keys: Sequence[str],
-    columns: list[T.StructField],
+    columns: list[tuple[str, T.DataType, pa.DataType]],
     kernel: Callable[[pa.Table, np.ndarray, pa.Table, np.ndarray], dict],
     one_block: bool,
 ) -> DataFrame:
@@ -72,33 +75,30 @@ def _meet(
         both = q.unionByName(r).withColumn("qb", F.lit(0)).withColumn("rb", F.lit(0))
     else:
         both = _in_blocks(q, r, keys)
-    out = T.StructType([*[queries.schema[k] for k in keys], T.StructField("qid", qid.dataType), *columns])
-    names = [f.name for f in columns]
+    out = T.StructType(
+        [
+            *[queries.schema[k] for k in keys],
+            T.StructField("qid", qid.dataType),
+            *[T.StructField(name, spark_type) for name, spark_type, _ in columns],
+        ]
+    )
 
     def run(table: pa.Table) -> pa.Table:
         is_query = table["is_query"]
         left, right = table.filter(is_query), table.filter(pc.invert(is_query))
+        rows = left.select([*keys, "qid"])
         if not (len(left) and len(right)):
-            return None
-        result = kernel(left, list_matrix(left["vec"]), right, list_matrix(right["vec"]))
-        rows = left.select([*keys, "qid"]).take(pa.array(result.pop("_query")))
-        for name in names:
+            result = {name: pa.array([], arrow) for name, _, arrow in columns}
+            rows = rows.slice(0, 0)
+        else:
+            result = kernel(left, list_matrix(left["vec"]), right, list_matrix(right["vec"]))
+            if "_query" in result:
+                rows = rows.take(pa.array(result["_query"]))
+        for name, _, _ in columns:
             rows = rows.append_column(name, result[name])
         return rows
 
-    empty = out
-
-    def safe(table: pa.Table) -> pa.Table:
-        rows = run(table)
-        return rows if rows is not None else _empty_like(table, keys, empty)
-
-    return both.groupBy(*keys, "qb", "rb").applyInArrow(safe, out)
-
-
-def _empty_like(table: pa.Table, keys: list[str], schema: T.StructType) -> pa.Table:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    return to_arrow_schema(schema, timezone="UTC").empty_table()
+    return both.groupBy(*keys, "qb", "rb").applyInArrow(run, out)
 
 
 def _in_blocks(q: DataFrame, r: DataFrame, keys: list[str]) -> DataFrame:
@@ -158,9 +158,9 @@ def nearest(
                     plain = np.where(own, np.inf, plain)
                 near[part] = np.sqrt(plain.min(axis=1))
         near = pa.array(near, mask=~np.isfinite(near))
-        return {"_query": np.arange(len(q)), "near": near, "hit": pa.array(hit)}
+        return {"near": near, "hit": pa.array(hit)}
 
-    columns = [T.StructField("near", T.DoubleType()), T.StructField("hit", T.BooleanType())]
+    columns = [("near", T.DoubleType(), pa.float64()), ("hit", T.BooleanType(), pa.bool_())]
     one_block = _single(max_queries, max_refs)
     met = _meet(queries, refs, keys, columns, kernel, one_block)
     if one_block:
@@ -200,9 +200,9 @@ def k_nearest(
         }
 
     columns = [
-        T.StructField("rid", T.LongType()),
-        T.StructField("aux", T.DoubleType()),
-        T.StructField("dist", T.DoubleType()),
+        ("rid", T.LongType(), pa.int64()),
+        ("aux", T.DoubleType(), pa.float64()),
+        ("dist", T.DoubleType(), pa.float64()),
     ]
     met = _meet(queries, refs, keys, columns, kernel, _single(max_queries, max_refs))
     order = Window.partitionBy(*keys, "qid").orderBy("dist", "rid")

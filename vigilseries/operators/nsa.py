@@ -50,11 +50,11 @@ def self_points(labelled: DataFrame) -> DataFrame:
 
 
 def threshold(
-    selves: DataFrame, percentile: float, max_points: int | None = None
+    once: DataFrame, percentile: float, max_points: int | None = None
 ) -> DataFrame:
     """Percentile of the distance to the second nearest normal point (the first is the point
-    itself); a point with a copy has distance 0. Instances with a single point get no threshold."""
-    once = distinct_points(selves)
+    itself); a point with a copy has distance 0. Instances with a single point get no threshold.
+    ``once`` lists the distinct normal points with their number of copies ``n``."""
     lonely = once.where(F.col("n") == 1).select(*INSTANCE, F.col("rid").alias("qid"), "vec")
     refs = once.withColumn("aux", F.lit(None).cast("double"))
     found = nearest(
@@ -245,17 +245,18 @@ def candidates(
 
 def measure(
     centres: DataFrame,
-    selves: DataFrame,
+    once: DataFrame,
     params: DataFrame,
     max_centres: int | None = None,
     max_points: int | None = None,
 ) -> DataFrame:
-    """Radius a centre could have: distance to the nearest normal point minus the self radius."""
+    """Radius a centre could have: distance to the nearest (distinct) normal point minus the self
+    radius."""
     carried = [c for c in centres.columns if c not in INSTANCE]
     queries = centres.select(
         *INSTANCE, F.struct(*carried).alias("qid"), F.col("centre").alias("vec")
     )
-    refs = distinct_points(selves).withColumn("aux", F.lit(None).cast("double"))
+    refs = once.withColumn("aux", F.lit(None).cast("double"))
     found = nearest(queries, refs, max_queries=max_centres, max_refs=max_points)
     return found.join(params.select(*INSTANCE, "self_radius"), [*INSTANCE]).select(
         *INSTANCE, "qid.*", (F.col("near") - F.col("self_radius")).alias("radius")
@@ -297,7 +298,7 @@ def perturbed(rejected: DataFrame, cfg: DetectorConfig, max_dim: int) -> DataFra
 
 def retry(
     rejected: DataFrame,
-    selves: DataFrame,
+    once: DataFrame,
     params: DataFrame,
     cfg: DetectorConfig,
     max_dim: int,
@@ -305,7 +306,7 @@ def retry(
 ) -> DataFrame:
     """First accepted later position of the rejected candidates."""
     moved = perturbed(rejected, cfg, max_dim)
-    tested = accepted(measure(moved, selves, params, None, max_points))
+    tested = accepted(measure(moved, once, params, None, max_points))
     first = F.min_by(F.struct("centre", "radius"), "attempt").alias("hit")
     return (
         tested.groupBy(*INSTANCE, "cand")
@@ -326,6 +327,7 @@ def cap_detectors(found: DataFrame, limit: int) -> DataFrame:
 
 def detectors(
     selves: DataFrame,
+    once: DataFrame,
     params: DataFrame,
     cfg: DetectorConfig,
     max_dim: int,
@@ -334,10 +336,12 @@ def detectors(
     """Candidates that fit at once or after some perturbation, at most ``max_detectors``."""
     drawn = candidates(selves, params, cfg, max_dim, max_points)
     bound = None if max_points is None else cfg.max_detectors + max_points
-    tested = materialise(measure(drawn, selves, params, bound, max_points), "candidates")
+    tested = materialise(measure(drawn, once, params, bound, max_points), "candidates")
     at_once = accepted(tested)
+    if cfg.max_attempts < 1:
+        return cap_detectors(at_once, cfg.max_detectors)
     rejected = tested.where(F.col("radius") <= 0).drop("radius")
-    later = retry(rejected, selves, params, cfg, max_dim, max_points).drop("attempt")
+    later = retry(rejected, once, params, cfg, max_dim, max_points).drop("attempt")
     return cap_detectors(at_once.unionByName(later), cfg.max_detectors)
 
 
@@ -347,13 +351,13 @@ def train(
     """Model tables from training vectors (``t, vec``), all of them normal. Instances with a single
     vector get no model."""
     selves = vectors.select(*INSTANCE, F.col("t").alias("rid"), "vec")
-    limits = threshold(selves, cfg.nsa_percentile, max_points)
-    known = params(selves, cfg.self_percentage).join(limits, [*INSTANCE])
-    return NsaModel(
-        params=known,
-        self_points=distinct_points(selves),
-        detectors=detectors(selves, known, cfg, max_dim, max_points),
+    once = materialise(distinct_points(selves), "nsa-self")
+    limits = threshold(once, cfg.nsa_percentile, max_points)
+    known = materialise(
+        params(selves, cfg.self_percentage).join(limits, [*INSTANCE]), "nsa-params"
     )
+    found = detectors(selves, once, known, cfg, max_dim, max_points)
+    return NsaModel(known, once, materialise(found, "nsa-detectors"))
 
 
 # --- scoring ----------------------------------------------------------------------------------

@@ -13,6 +13,7 @@ from vigilseries.config import DetectorConfig
 from vigilseries.functions.arrow import list_matrix
 from vigilseries.functions.columns import INSTANCE, SERIES
 from vigilseries.functions.quantiles import grouped_quantiles
+from vigilseries.functions.storage import materialise
 from vigilseries.operators.chunks import chunk_of, is_long
 
 # Metrics per side of a correlation block: 2 x 256 series x one chunk stay near 40 MB.
@@ -163,8 +164,9 @@ def importance(
     rows = aligned.join(stats.select(*SERIES), [*SERIES], "left_semi")
     splitters = grouped_quantiles(rows, SERIES, "value", cuts, steps, "cuts")
     start = rows.groupBy(*INSTANCE).agg(F.min("t").alias("lo"))
-    bin_of = F.aggregate(
-        "cuts", F.lit(0), lambda s, cut: s + F.when(F.col("value") > cut, 1).otherwise(0)
+    # number of cuts below the value, as plain comparisons
+    bin_of = sum(
+        ((F.col("value") > F.col("cuts")[i]).cast("int") for i in range(len(cuts))), F.lit(0)
     )
     y = ((F.col("t") - F.col("lo")) / cfg.freq).cast("double")
     binned = (
@@ -237,8 +239,14 @@ def crowded(stats: DataFrame, n: int) -> DataFrame:
 def select_metrics(
     aligned: DataFrame, metrics: DataFrame, cfg: DetectorConfig, steps: int | None = None
 ) -> DataFrame:
-    """Variability, variance, correlation and importance in turn; with the training range."""
-    stats = varying_enough(variable(profile(aligned, metrics)), cfg.variance_floor)
-    kept = uncorrelated(stats, correlated(aligned, stats, cfg, steps))
+    """Variability, variance, correlation and importance in turn; with the training range.
+
+    The statistics (one row per metric) are written between the steps, so that the values are read
+    once per step and correlations are computed once.
+    """
+    stats = materialise(
+        varying_enough(variable(profile(aligned, metrics)), cfg.variance_floor), "profile"
+    )
+    kept = materialise(uncorrelated(stats, correlated(aligned, stats, cfg, steps)), "uncorrelated")
     scores = importance(aligned, crowded(kept, cfg.top_n), cfg, steps)
     return top_n(kept, scores, cfg.top_n)

@@ -491,7 +491,8 @@ def importance_binned(spark, sf_dir):
     run = training(spark, sf_dir)
     stats = select.varying_enough(select.variable(run.stats), C.variance_floor)
     kept = select.uncorrelated(stats, select.correlated(run.aligned, stats, C, C.train_steps))
-    return select.importance(run.aligned, select.crowded(kept, C.top_n), C, C.train_steps)
+    crowded = select.crowded(materialise(kept, "kept"), C.top_n)
+    return select.importance(run.aligned, crowded, C, C.train_steps)
 
 
 @register("importance_rf")
@@ -509,7 +510,9 @@ SELECTED_SQL = f"""SELECT {SER}, {big('ord')} AS ord, {r7('vmin')} AS vmin, {r7(
 def top_n_metrics(spark, sf_dir):
     run = training(spark, sf_dir)
     stats = select.varying_enough(select.variable(run.stats), C.variance_floor)
-    kept = select.uncorrelated(stats, select.correlated(run.aligned, stats, C, C.train_steps))
+    kept = materialise(
+        select.uncorrelated(stats, select.correlated(run.aligned, stats, C, C.train_steps)), "kept"
+    )
     scores = select.importance(run.aligned, select.crowded(kept, C.top_n), C, C.train_steps)
     return select.top_n(kept, scores, C.top_n).select(*SERIES, "ord")
 
@@ -664,10 +667,12 @@ def nsa_random_centres(spark, sf_dir):
 
 
 def first_test(run: pipeline.TrainingRun) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Distinct normal points, parameters and the candidates with the radius they could have."""
     selves = self_vectors(run)
+    once = materialise(nb.distinct_points(selves), "once")
     known = materialise(nsa.params(selves, C.self_percentage), "params")
     drawn = nsa.candidates(selves, known, C, run.max_dim, C.train_steps)
-    return selves, known, nsa.measure(drawn, selves, known, NSA_ROWS, C.train_steps)
+    return once, known, nsa.measure(drawn, once, known, NSA_ROWS, C.train_steps)
 
 
 @register(
@@ -686,9 +691,9 @@ def nsa_accept(spark, sf_dir):
 )
 def nsa_perturb(spark, sf_dir):
     run = training(spark, sf_dir)
-    selves, known, tested = first_test(run)
+    once, known, tested = first_test(run)
     rejected = materialise(tested, "tested").where(F.col("radius") <= 0).drop("radius")
-    later = nsa.retry(rejected, selves, known, C, run.max_dim, C.train_steps)
+    later = nsa.retry(rejected, once, known, C, run.max_dim, C.train_steps)
     total = F.aggregate("centre", F.lit(0.0), lambda s, x: s + x)
     return later.select(*INSTANCE, "cand", "attempt", "radius", total.alias("centre_sum"))
 
@@ -706,8 +711,8 @@ def nsa_detectors(spark, sf_dir):
 
 @register("nsa_threshold", f"SELECT {KEY}, {r7('threshold')} AS threshold FROM x_threshold")
 def nsa_threshold(spark, sf_dir):
-    selves = self_vectors(training(spark, sf_dir))
-    return nsa.threshold(selves, C.nsa_percentile, C.train_steps)
+    once = nb.distinct_points(self_vectors(training(spark, sf_dir)))
+    return nsa.threshold(materialise(once, "once"), C.nsa_percentile, C.train_steps)
 
 
 def query_vectors(run: pipeline.TrainingRun, frame: DataFrame) -> DataFrame:
@@ -752,15 +757,7 @@ def labelled_model(rows: DataFrame) -> nsa.NsaModel:
     """Model of the labelled vectors: class 0 is normal, candidates are random only."""
     cfg = replace(C, seed_mode="none", max_attempts=0)
     selves = nsa.self_points(rows).select(*INSTANCE, "rid", "vec")
-    known = nsa.params(selves, C.self_percentage).join(
-        nsa.threshold(selves, C.nsa_percentile), [*INSTANCE]
-    )
-    known = materialise(known, "params")
-    drawn = nsa.random_centres(known, cfg, 64)
-    tested = nsa.accepted(nsa.measure(drawn, selves, known))
-    return nsa.NsaModel(
-        known, nb.distinct_points(selves), materialise(nsa.cap_detectors(tested, 500), "detectors")
-    )
+    return nsa.train(selves.withColumnRenamed("rid", "t"), cfg, 64)
 
 
 @register(
@@ -1007,7 +1004,7 @@ def prediction_time(spark, sf_dir):
       AS cycle_at FROM made GROUP BY {KEY})
     SELECT c.application, c.instance, {big('c.cycle_at')} AS cycle_at, arg_max(model_id, ROW(trained_at, model_id)) AS model_id,
       max(trained_at) AS trained_at FROM cycles c LEFT JOIN made m ON {o.eq('c', 'm', KEY)} AND trained_at <= cycle_at
-      AND cycle_at <= trained_at + 12 * 3600 GROUP BY ALL""",
+      AND cycle_at < trained_at + 12 * 3600 GROUP BY ALL""",
 )
 def model_for_cycle(spark, sf_dir):
     rows = tables.points(spark, sf_dir, SHOPS).where(F.col("measurement") == "sys_signup")

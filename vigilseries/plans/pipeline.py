@@ -101,12 +101,7 @@ class TrainingRun:
 
     @cached_property
     def nsa_model(self) -> nsa.NsaModel:
-        made = nsa.train(self.vectors, self.cfg, self.max_dim, self.cfg.train_steps)
-        return nsa.NsaModel(
-            params=materialise(made.params, "nsa-params"),
-            self_points=materialise(made.self_points, "nsa-self"),
-            detectors=materialise(made.detectors, "nsa-detectors"),
-        )
+        return nsa.train(self.vectors, self.cfg, self.max_dim, self.cfg.train_steps)
 
     @cached_property
     def kmeans_models(self) -> DataFrame:
