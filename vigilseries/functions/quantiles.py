@@ -57,8 +57,11 @@ def bracketed_quantiles(
     )
     brackets = []
     for i, p in enumerate(probabilities):
-        low = F.col("_min") if p - margin <= 0 else F.col("_ends")[2 * i]
-        high = F.col("_max") if p + margin >= 1 else F.col("_ends")[2 * i + 1]
+        # In a small group the margin is less than a few ranks: bracket all of it.
+        small = F.col("_n") < 10 / margin
+        low, high = F.col("_ends")[2 * i], F.col("_ends")[2 * i + 1]
+        low = F.col("_min") if p - margin <= 0 else F.when(small, F.col("_min")).otherwise(low)
+        high = F.col("_max") if p + margin >= 1 else F.when(small, F.col("_max")).otherwise(high)
         rank = F.lit(float(p)) * (F.col("_n") - 1)
         brackets.append(
             F.struct(
