@@ -1,9 +1,12 @@
 """Every registered query against its SQL at the smallest scale that still passes the gates."""
 
+from functools import lru_cache
+
 import pytest
 
 import __spark_entry__ as entry
 from tests.compare import compare, oracle_connection
+from vigilseries.plans import catalog
 
 SF = "/root/testdata/sf0.01"
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
@@ -14,6 +17,14 @@ def duck():
     return oracle_connection(SF)
 
 
+@pytest.fixture(scope="module", autouse=True)
+def one_training_run():
+    """The queries share their stage tables here; each builds its own elsewhere."""
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(catalog, "training", lru_cache(maxsize=None)(catalog.training))
+        yield
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
     got = QUERIES[name](spark, SF).toPandas()

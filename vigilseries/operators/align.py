@@ -40,6 +40,16 @@ def spine(means: DataFrame, freq: int, keys: Sequence[str] = INSTANCE) -> DataFr
     return spine_bounds(means, keys).select(*keys, F.explode(steps).alias("t"))
 
 
+def _bounds_per_series(means: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The instance's bounds on every one of its metrics. Values can then meet their bounds on the
+    series key they are already partitioned by, instead of gathering whole instances."""
+    own = means.groupBy(*keys, "metric").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
+    whole = Window.partitionBy(*keys)
+    return own.select(
+        *keys, "metric", F.min("lo").over(whole).alias("lo"), F.max("hi").over(whole).alias("hi")
+    )
+
+
 def _known_with_neighbours(
     means: DataFrame, cfg: DetectorConfig, keys: Sequence[str], steps: int | None
 ) -> DataFrame:
@@ -108,7 +118,9 @@ def _filled_grid(
     rows and never shuffled.
     """
     freq = F.lit(cfg.freq).cast("long")
-    known = _known_with_neighbours(means, cfg, keys, steps).join(spine_bounds(means, keys), [*keys])
+    known = _known_with_neighbours(means, cfg, keys, steps).join(
+        _bounds_per_series(means, keys), [*keys, "metric"]
+    )
     start = F.when(F.col("first"), F.col("lo")).otherwise(F.col("t"))
     stop = F.coalesce(F.col("next_t") - freq, F.col("hi"))
     return known.select("*", F.explode(F.sequence(start, stop, freq)).alias("step"))

@@ -102,25 +102,29 @@ def _meet(
 
 
 def _in_blocks(q: DataFrame, r: DataFrame, keys: list[str]) -> DataFrame:
-    """Give every row its block and send it to all blocks of the other side."""
+    """Give every row its block and send it to all blocks of the other side. Only instances with
+    more than one block are listed, so the table that everything meets stays small."""
     sizes = (
         q.select(*keys, "is_query")
         .unionByName(r.select(*keys, "is_query"))
         .groupBy(*keys)
         .agg(
-            F.ceil(F.count_if("is_query") / BLOCK).alias("nq"),
-            F.ceil(F.count_if(~F.col("is_query")) / BLOCK).alias("nr"),
+            F.greatest(F.ceil(F.count_if("is_query") / BLOCK), F.lit(1)).alias("nq"),
+            F.greatest(F.ceil(F.count_if(~F.col("is_query")) / BLOCK), F.lit(1)).alias("nr"),
         )
-        .where((F.col("nq") > 0) & (F.col("nr") > 0))
+        .where((F.col("nq") > 1) | (F.col("nr") > 1))
     )
+    nq, nr = F.coalesce("nq", F.lit(1)), F.coalesce("nr", F.lit(1))
     zero = F.lit(0).cast("long")
-    own_q = F.pmod(F.xxhash64("qid"), F.col("nq"))
-    own_r = F.pmod(F.xxhash64("rid"), F.col("nr"))
-    spread_q = q.join(sizes, keys).select(
-        *q.columns, own_q.alias("qb"), F.explode(F.sequence(zero, F.col("nr") - 1)).alias("rb")
+    spread_q = q.join(sizes, keys, "left").select(
+        *q.columns,
+        F.pmod(F.xxhash64("qid"), nq).alias("qb"),
+        F.explode(F.sequence(zero, nr - 1)).alias("rb"),
     )
-    spread_r = r.join(sizes, keys).select(
-        *r.columns, F.explode(F.sequence(zero, F.col("nq") - 1)).alias("qb"), own_r.alias("rb")
+    spread_r = r.join(sizes, keys, "left").select(
+        *r.columns,
+        F.explode(F.sequence(zero, nq - 1)).alias("qb"),
+        F.pmod(F.xxhash64("rid"), nr).alias("rb"),
     )
     return spread_q.unionByName(spread_r)
 

@@ -28,6 +28,7 @@ def profile(aligned: DataFrame, metrics: DataFrame) -> DataFrame:
         F.max("value").alias("vmax"),
         F.avg("value").alias("mean"),
         F.var_pop("value").alias("variance"),
+        F.min("t").alias("lo"),
     )
     return stats.join(metrics.select(*SERIES, "ord"), [*SERIES])
 
@@ -161,9 +162,8 @@ def importance(
     normalised per instance: a one-level regression on the same target the forest would get."""
     bins = cfg.importance_bins
     cuts = [k / bins for k in range(1, bins)]
-    rows = aligned.join(stats.select(*SERIES), [*SERIES], "left_semi")
+    rows = aligned.join(stats.select(*SERIES, "lo"), [*SERIES])
     splitters = grouped_quantiles(rows, SERIES, "value", cuts, steps, "cuts")
-    start = rows.groupBy(*INSTANCE).agg(F.min("t").alias("lo"))
     # number of cuts below the value, as plain comparisons
     bin_of = sum(
         ((F.col("value") > F.col("cuts")[i]).cast("int") for i in range(len(cuts))), F.lit(0)
@@ -171,7 +171,6 @@ def importance(
     y = ((F.col("t") - F.col("lo")) / cfg.freq).cast("double")
     binned = (
         rows.join(splitters, [*SERIES])
-        .join(start, [*INSTANCE])
         .select(*SERIES, bin_of.alias("bin"), y.alias("y"))
         .groupBy(*SERIES, "bin")
         .agg(

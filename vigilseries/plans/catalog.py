@@ -72,10 +72,7 @@ def training(spark: SparkSession, sf_dir: str, cfg=C) -> pipeline.TrainingRun:
 def scoring(spark: SparkSession, sf_dir: str) -> tuple[pipeline.TrainingRun, DataFrame]:
     """A training run and the aligned scoring window of its gated metrics."""
     run = training(spark, sf_dir)
-    window = source.series_points(source.scoring_range(run.points, NOW, C), C.metric_prefix)
-    kept = window.join(run.gated.select(*SERIES), [*SERIES], "left_semi")
-    frame = align.align_means(align.grid_means(kept, C.freq), C, steps=C.score_steps)
-    return run, frame
+    return run, pipeline.scoring_frame(run.points, run.scored_metrics, NOW, C)
 
 
 def coordinates(df: DataFrame, column: str) -> DataFrame:

@@ -118,6 +118,11 @@ class TrainingRun:
         )
 
 
+    @property
+    def scored_metrics(self) -> Models:
+        """Selection without any trained model."""
+        return Models(self.gated, self.selected, None, None)
+
     @property
     def models_without_nsa(self) -> Models:
         return Models(self.gated, self.selected, None, self.kmeans_models)
@@ -128,10 +133,12 @@ def train(points: DataFrame, now: int, cfg: DetectorConfig) -> Models:
     return TrainingRun(points, now, cfg).models
 
 
-def scoring_points(points: DataFrame, models: Models, now: int, cfg: DetectorConfig) -> DataFrame:
-    """Points of the scoring window of metrics that passed the gate at training."""
+def scoring_means(points: DataFrame, models: Models, now: int, cfg: DetectorConfig) -> DataFrame:
+    """Grid means of the scoring window, of metrics that passed the gate at training. Raw points
+    are averaged first and only the means meet the model tables."""
     window = source.series_points(source.scoring_range(points, now, cfg), cfg.metric_prefix)
-    kept = window.join(models.gated.select(*SERIES), [*SERIES], "left_semi")
+    means = grid_means(window, cfg.freq)
+    kept = means.join(models.gated.select(*SERIES), [*SERIES], "left_semi")
     if cfg.strict_instances:
         whole = gates.complete_instances(models.selected, kept)
         kept = kept.join(whole.select(*INSTANCE), [*INSTANCE], "left_semi")
@@ -139,8 +146,7 @@ def scoring_points(points: DataFrame, models: Models, now: int, cfg: DetectorCon
 
 
 def scoring_frame(points: DataFrame, models: Models, now: int, cfg: DetectorConfig) -> DataFrame:
-    means = grid_means(scoring_points(points, models, now, cfg), cfg.freq)
-    return align_means(means, cfg, steps=cfg.score_steps)
+    return align_means(scoring_means(points, models, now, cfg), cfg, steps=cfg.score_steps)
 
 
 def scoring_features(
