@@ -164,6 +164,12 @@ def nsa_scores(
     aligned: DataFrame, models: Models, cfg: DetectorConfig, keys: tuple[str, ...] = INSTANCE
 ) -> DataFrame:
     rows = scoring_features(aligned, models, cfg.nsa_shape, cfg, keys)
+    return _nsa_scores(rows, models, cfg, keys)
+
+
+def _nsa_scores(
+    rows: DataFrame, models: Models, cfg: DetectorConfig, keys: tuple[str, ...]
+) -> DataFrame:
     vectors = features.vectors(rows, cfg.nsa_shape, keys)
     queries = cfg.score_steps if keys == INSTANCE else None
     refs = cfg.train_steps + cfg.max_detectors
@@ -177,18 +183,34 @@ def kmeans_scores(
     return kmeans.score(rows, models.kmeans, cfg, keys)
 
 
+def scores(
+    aligned: DataFrame, models: Models, cfg: DetectorConfig, keys: tuple[str, ...] = INSTANCE
+) -> tuple[DataFrame | None, DataFrame | None]:
+    """Scores of the methods that have a model. Both read the features from one written table."""
+    if models.nsa is None and models.kmeans is None:
+        raise ValueError("both methods are switched off")
+    if models.kmeans is None:
+        return nsa_scores(aligned, models, cfg, keys), None
+    if models.nsa is None:
+        return None, kmeans_scores(aligned, models, cfg, keys)
+    if cfg.nsa_shape != cfg.kmeans_shape:
+        once = materialise(aligned, "scoring")
+        return nsa_scores(once, models, cfg, keys), kmeans_scores(once, models, cfg, keys)
+    rows = scoring_features(aligned, models, cfg.nsa_shape, cfg, keys)
+    rows = materialise(rows, "scoring-features")
+    return _nsa_scores(rows, models, cfg, keys), kmeans.score(rows, models.kmeans, cfg, keys)
+
+
 def detections(points: DataFrame, models: Models, now: int, cfg: DetectorConfig) -> DataFrame:
     """Detection rows of the scoring window before ``now``, all methods."""
-    aligned = scoring_frame(points, models, now, cfg)
+    whole, single = scores(scoring_frame(points, models, now, cfg), models, cfg)
     found = []
-    if models.nsa is not None:
-        rates = detect.nsa_window_rate(nsa_scores(aligned, models, cfg), cfg)
+    if whole is not None:
+        rates = detect.nsa_window_rate(whole, cfg)
         found.append(detect.nsa_detections(rates, models.selected, now, cfg))
-    if models.kmeans is not None:
-        rates = detect.kmeans_window_rate(kmeans_scores(aligned, models, cfg), cfg)
+    if single is not None:
+        rates = detect.kmeans_window_rate(single, cfg)
         found.append(detect.kmeans_detections(rates, now, cfg))
-    if not found:
-        raise ValueError("both methods are switched off")
     return found[0] if len(found) == 1 else found[0].unionByName(found[1])
 
 

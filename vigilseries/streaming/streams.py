@@ -57,18 +57,17 @@ def score_windows(windows: DataFrame, models: pipeline.Models, cfg: DetectorConf
     known = window_means(windows).join(models.gated.select(*SERIES), [*SERIES], "left_semi")
     aligned = align_means(known, cfg, WINDOW_KEYS, cfg.score_steps)
     columns = ["method", *WINDOW_KEYS, "metric", "rate", "window_start", "last_step"]
+    whole, single = pipeline.scores(aligned, models, cfg, WINDOW_KEYS)
     found = []
-    if models.nsa is not None:
-        scores = pipeline.nsa_scores(aligned, models, cfg, WINDOW_KEYS)
-        rates = _rates(scores, WINDOW_KEYS, cfg)
+    if whole is not None:
+        rates = _rates(whole, WINDOW_KEYS, cfg)
         found.append(
             rates.withColumn("method", F.lit(cfg.nsa_method))
             .withColumn("metric", F.lit(None).cast("string"))
             .select(*columns)
         )
-    if models.kmeans is not None:
-        scores = pipeline.kmeans_scores(aligned, models, cfg, WINDOW_KEYS)
-        rates = _rates(scores, (*WINDOW_KEYS, "metric"), cfg)
+    if single is not None:
+        rates = _rates(single, (*WINDOW_KEYS, "metric"), cfg)
         found.append(rates.withColumn("method", F.lit(cfg.kmeans_method)).select(*columns))
     return found[0] if len(found) == 1 else found[0].unionByName(found[1])
 
