@@ -1,4 +1,7 @@
-"""Run registered queries next to their SQL: ``python tests/compare.py [sf_dir] [name ...]``."""
+"""Run registered queries next to their SQL: ``python tests/compare.py [sf_dir] [name ...]``.
+
+With ``SHARED=1`` all queries use the stage tables of one training run.
+"""
 
 from __future__ import annotations
 
@@ -60,6 +63,12 @@ def main(argv: list[str]) -> int:
     import __spark_entry__ as entry
     from pyspark.sql import SparkSession
 
+    if os.environ.get("SHARED"):
+        from functools import lru_cache
+
+        from vigilseries.plans import catalog
+
+        catalog.training = lru_cache(maxsize=None)(catalog.training)
     sf_dir = argv[0] if argv else "/root/testdata/sf0.01"
     spark = (
         SparkSession.builder.master("local[8]")

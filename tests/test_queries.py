@@ -3,6 +3,7 @@
 from functools import lru_cache
 
 import pytest
+from pyspark.sql import DataFrameWriter
 
 import __spark_entry__ as entry
 from tests.compare import compare, oracle_connection
@@ -25,10 +26,31 @@ def one_training_run():
         yield
 
 
+def plan_of(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture
+def written_plans(monkeypatch):
+    """Plans of everything a query writes on its way."""
+    plans, write = [], DataFrameWriter.parquet
+
+    def spy(writer, *args, **kwargs):
+        plans.append(plan_of(writer._df))
+        return write(writer, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", spy)
+    return plans
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
-def test_query(spark, duck, name):
-    got = QUERIES[name](spark, SF).toPandas()
+def test_query(spark, duck, written_plans, name):
+    frame = QUERIES[name](spark, SF)
+    got = frame.toPandas()
     assert len(got.columns) > 0
+    for plan in [*written_plans, plan_of(frame)]:
+        for costly in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
+            assert costly not in plan
     if name in ORACLES:
         assert compare(got, duck.execute(ORACLES[name]).df()) is None
     else:
