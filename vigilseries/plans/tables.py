@@ -126,17 +126,18 @@ def labelled_vectors(spark: SparkSession, sf_dir: str, dim: int = 64) -> DataFra
         F.col("embedding").cast("array<double>").alias("raw"),
     )
     at = lambda j: F.get("raw", F.lit(j))
-    ranges = rows.groupBy("application", "instance").agg(
+    # The fitted scaler: two numbers per dimension.
+    fitted = rows.agg(
         F.array(*[F.min(at(j)) for j in range(dim)]).alias("low"),
         F.array(*[F.max(at(j)) for j in range(dim)]).alias("high"),
+    ).first()
+    scaled = F.array(
+        *[
+            (at(j) - F.lit(low)) / (F.lit(high) - F.lit(low))
+            for j, (low, high) in enumerate(zip(fitted["low"], fitted["high"], strict=True))
+        ]
     )
-    scaled = F.transform(
-        "raw",
-        lambda x, j: (x - F.get("low", j)) / (F.get("high", j) - F.get("low", j)),
-    )
-    return rows.join(ranges, ["application", "instance"]).select(
-        "application", "instance", "rid", "kind", "label", scaled.alias("vec")
-    )
+    return rows.select("application", "instance", "rid", "kind", "label", scaled.alias("vec"))
 
 
 def daily_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
