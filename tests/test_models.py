@@ -66,6 +66,8 @@ def test_copies_do_not_change_neighbours(spark):
     q = queries(points(spark, rng.random((8, 2))))
     few = nsa.neighbours_of(q, refs, 5).orderBy("qid", "rank").select("qid", "rid", "aux").collect()
     assert neighbours.first_copies(refs, 5).count() <= 15
+    plan = neighbours.first_copies(refs, 5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2  # copies are cut before and after the shuffle
     allof = neighbours.k_nearest(q, refs.withColumn("aux", F.col("label").cast("double")), 5)
     assert few == allof.orderBy("qid", "rank").select("qid", "rid", "aux").collect()
 

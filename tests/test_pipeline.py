@@ -7,9 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from vigilseries.config import DetectorConfig
-from vigilseries.functions.columns import SERIES
 from vigilseries.plans import pipeline
-from vigilseries.sources import store
+from vigilseries.sources.models import load_models, save_models
 from vigilseries.streaming import streams
 
 NOW = 720_000
@@ -111,6 +110,16 @@ def test_a_missing_metric(spark, base):
     assert len(strict) == 4 and all("_calm" in r[0] for r in strict)
 
 
+def test_saved_models_score_the_same(spark, base, tmp_path):
+    points, models, want = base
+    folder = str(tmp_path / "model")
+    saved = save_models(models, folder)
+    assert rows_of(pipeline.detections(points, saved, NOW, CFG)) == want
+    loaded = load_models(spark, folder, use_nsa=False)
+    got = rows_of(pipeline.detections(points, loaded, NOW, CFG))
+    assert got == [r for r in want if "kmeans" in r[0]]
+
+
 def test_outlier_stage(spark, base):
     points, _, want = base
     spiked = points.withColumn(

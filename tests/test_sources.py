@@ -52,6 +52,19 @@ def test_range_reaches_the_store(spark, tmp_path):
     assert "GreaterThanOrEqual(ts" in plan and "LessThan(ts" in plan
 
 
+def test_the_store_does_not_depend_on_the_session_time_zone(spark, tmp_path):
+    path = str(tmp_path / "points")
+    rows = raw(spark, [point(d * DAY + h * 1800) for d in range(3) for h in range(48)])
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Pacific/Auckland")
+        store.write_points(rows, path)
+        spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+        assert points.in_range(points.read_points(spark, path), DAY, 2 * DAY).count() == 48
+        assert store.retained(points.read_points(spark, path), 3 * DAY, DAY).count() == 48
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_scans(spark):
     rows = raw(
         spark,

@@ -36,6 +36,11 @@ def from_epoch(seconds: Column) -> Column:
     return F.timestamp_seconds(seconds)
 
 
+def utc_day(seconds: Column) -> Column:
+    """Calendar day in UTC, whatever the session's time zone is."""
+    return F.date_from_unix_date(F.floor(seconds / 86_400).cast("int"))
+
+
 def grid_floor(seconds: Column, freq: int) -> Column:
     """Start of the grid step that holds an epoch second."""
     return seconds - F.pmod(seconds, F.lit(freq).cast("long"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vigilseries.config import DAY, MINUTE, DetectorConfig
-from vigilseries.functions.columns import encode_destination, metric_name, missing_if_nan
+from vigilseries.functions.columns import encode_destination, metric_name, missing_if_nan, utc_day
 
 POINT_SCHEMA = T.StructType(
     [
@@ -38,7 +38,7 @@ def in_range(points: DataFrame, start: int, stop: int) -> DataFrame:
     lo, hi = F.timestamp_seconds(F.lit(start)), F.timestamp_seconds(F.lit(stop))
     inside = (F.col("ts") >= lo) & (F.col("ts") < hi)
     if "date" in points.columns:  # prunes whole partitions of the store
-        inside = inside & F.col("date").between(F.to_date(lo), F.to_date(hi))
+        inside = inside & F.col("date").between(utc_day(F.lit(start)), utc_day(F.lit(stop)))
     return points.where(inside)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vigilseries.config import DetectorConfig
-from vigilseries.functions.columns import INSTANCE
+from vigilseries.functions.columns import INSTANCE, utc_day
 
 TAGS = ("application_name", "node", "method", "metrics", "level")
 FIELDS = ("metricValue", "anomaly", "predictionTime", "window_start", "window_end")
@@ -34,7 +34,8 @@ def append_detections(detections: DataFrame, path: str, written: int) -> None:
     (
         detections.withColumn("written", F.lit(written).cast("long"))
         .withColumn("application", F.col("application_name"))
-        .withColumn("date", F.to_date("time"))
+        .withColumn("date", utc_day(F.unix_seconds("time")))
+        .hint("rebalance", "application", "date")
         .write.mode("append")
         .partitionBy("application", "date")
         .parquet(path)
@@ -64,7 +65,8 @@ def since(detections: DataFrame, now: int, hours: int) -> DataFrame:
     lo, hi = F.timestamp_seconds(F.lit(now - hours * 3600)), F.timestamp_seconds(F.lit(now))
     inside = (F.col("time") >= lo) & (F.col("time") < hi)
     if "date" in detections.columns:
-        inside = inside & F.col("date").between(F.to_date(lo), F.to_date(hi))
+        first, last = F.lit(now - hours * 3600), F.lit(now)
+        inside = inside & F.col("date").between(utc_day(first), utc_day(last))
     return detections.where(inside)
 
 
@@ -113,7 +115,7 @@ def retained(points: DataFrame, now: int, seconds: int) -> DataFrame:
     oldest = F.timestamp_seconds(F.lit(now - seconds))
     young = F.col("ts") >= oldest
     if "date" in points.columns:
-        young = young & (F.col("date") >= F.to_date(oldest))
+        young = young & (F.col("date") >= utc_day(F.lit(now - seconds)))
     return points.where(young)
 
 
@@ -128,7 +130,7 @@ def purged(points: DataFrame, start: int, stop: int, measurement: str | None = N
 def write_points(points: DataFrame, path: str, mode: str = "append") -> None:
     """The point store layout. One task per application and day writes each partition, unless the
     day is large: then adaptive execution splits it."""
-    dated = points.withColumn("date", F.to_date("ts"))
+    dated = points.withColumn("date", utc_day(F.unix_seconds("ts")))
     (
         dated.hint("rebalance", "application", "date")
         .write.mode(mode)
