@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vigilseries.config import DetectorConfig
+from vigilseries.functions import storage
 from vigilseries.functions.quantiles import bracketed_quantiles, grouped_quantiles
 from vigilseries.operators import gates, select
 
@@ -175,6 +176,38 @@ def test_outlier_fences(spark):
             assert sorted(r["t"] for r in got.collect()) == want
 
 
+def test_outlier_steps_of_a_mixed_fleet(spark):
+    """By position on the long frame: the same steps as on each instance's own wide frame."""
+    rng = np.random.default_rng(11)
+    fleet = {
+        "i": {"x": rng.normal(size=150), "y": rng.normal(size=150), "flat": np.ones(150)},
+        "j": {"other": rng.standard_t(2, size=150)},
+    }
+    fleet["i"]["x"][3], fleet["i"]["y"][3], fleet["i"]["y"][7] = 90, 4, -90
+    fleet["j"]["other"][9] = 1e4
+    frame, order = long(spark, fleet)
+    for steps in (150, None):
+        got = gates.drop_outlier_steps(frame, order, steps=steps)
+        for inst, metrics in fleet.items():
+            wide = spark.createDataFrame(
+                [("a", inst, 60 * t, *map(float, v)) for t, v in enumerate(zip(*metrics.values()))],
+                "application string, instance string, t long, "
+                + ", ".join(f"{m} double" for m in metrics),
+            )
+            want = gates.remove_outliers_iqr(wide, list(metrics), rows_per_key=150)
+            steps_left = got.where(F.col("instance") == inst).select("t").distinct()
+            assert {r["t"] for r in steps_left.collect()} == {r["t"] for r in want.collect()}
+            assert 100 < want.count() < 150
+
+
+def test_stage_tables_can_be_dropped(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(storage, "shared_folder", lambda session: str(tmp_path))
+    table = storage.materialise(spark.range(3), "numbers")
+    assert table.count() == 3 and list((tmp_path / "stages").iterdir())
+    storage.drop_stage_tables(spark)
+    assert not list((tmp_path / "stages").iterdir())
+
+
 def test_gates(spark):
     rows = [("a", "i", "m50", 1.0)] * 50 + [("a", "i", "m51", 1.0)] * 51 + [("a", "j", "m1", 1.0)]
     points = spark.createDataFrame(

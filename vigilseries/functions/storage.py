@@ -20,8 +20,20 @@ def _local_folder() -> str:
     return tempfile.mkdtemp(prefix="vigilseries-")
 
 
+def stage_folder(spark: SparkSession) -> str:
+    """Folder of the stage tables of this Spark application."""
+    return f"{shared_folder(spark)}/stages/{spark.sparkContext.applicationId}"
+
+
 def stage_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/stages/{name}-{uuid.uuid4().hex}"
+    return f"{stage_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_stage_tables(spark: SparkSession) -> None:
+    """Delete the stage tables of this application, once models and detections are stored. Frames
+    that still read them, such as models that were not saved elsewhere, become unusable."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(stage_folder(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

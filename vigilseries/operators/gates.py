@@ -49,6 +49,38 @@ def complete_instances(selected: DataFrame, points: DataFrame) -> DataFrame:
     return counted.where(F.col("n_selected") == F.col("n_present"))
 
 
+def drop_outlier_steps(
+    aligned: DataFrame,
+    metrics: DataFrame,
+    lower_quantile: float = 0.10,
+    upper_quantile: float = 0.90,
+    steps: int | None = None,
+) -> DataFrame:
+    """The same filter on a gap-free long frame whose instances have different metrics: the metrics
+    of all instances are visited by position (``ord``), and only the steps still alive are carried
+    from one position to the next. Returns the rows of the steps that are left."""
+    last = metrics.agg(F.max("ord")).first()[0]
+    if last is None:
+        return aligned
+    placed = aligned.join(metrics.select(*SERIES, "ord"), [*SERIES])
+    alive = materialise(aligned.select(*INSTANCE, "t").distinct(), "alive")
+    for position in range(last + 1):
+        column = placed.where(F.col("ord") == position).join(alive, [*INSTANCE, "t"], "left_semi")
+        column = materialise(column.select(*INSTANCE, "t", "value"), "column")
+        fences = grouped_quantiles(
+            column, INSTANCE, "value", [lower_quantile, upper_quantile], steps, "_q"
+        )
+        spread = F.col("_q")[1] - F.col("_q")[0]
+        inside = F.col("value").between(
+            F.col("_q")[0] - 1.5 * spread, F.col("_q")[1] + 1.5 * spread
+        )
+        outliers = column.join(fences, [*INSTANCE]).where((spread != 0) & ~inside)
+        alive = materialise(
+            alive.join(outliers.select(*INSTANCE, "t"), [*INSTANCE, "t"], "left_anti"), "alive"
+        )
+    return aligned.join(alive, [*INSTANCE, "t"], "left_semi")
+
+
 def remove_outliers_iqr(
     wide: DataFrame,
     columns: Sequence[str],

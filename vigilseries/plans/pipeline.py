@@ -12,7 +12,7 @@ from vigilseries.config import DetectorConfig, FeatureShape
 from vigilseries.functions.columns import INSTANCE, SERIES
 from vigilseries.functions.storage import materialise
 from vigilseries.operators import detect, features, gates, kmeans, nsa, select
-from vigilseries.operators.align import align_means, grid_means, pivot_wide
+from vigilseries.operators.align import align_means, grid_means
 from vigilseries.sources import points as source
 
 
@@ -62,10 +62,12 @@ class TrainingRun:
         return materialise(self._cleaned(frame), "cleaned") if self.cfg.iqr_filter else frame
 
     def _cleaned(self, frame: DataFrame) -> DataFrame:
-        """The optional outlier filter: rows it drops are interpolated again."""
-        names = [r["metric"] for r in self.gated.select("metric").distinct().collect()]
-        kept = cleaned(frame, sorted(names), self.cfg)
-        return align_means(kept, self.cfg, steps=self.cfg.train_steps)
+        """The optional outlier filter: steps it drops are interpolated again."""
+        cfg = self.cfg
+        kept = gates.drop_outlier_steps(
+            frame, self.gated, cfg.lower_quantile, cfg.upper_quantile, cfg.train_steps
+        )
+        return align_means(kept, cfg, steps=cfg.train_steps)
 
     @cached_property
     def stats(self) -> DataFrame:
@@ -212,19 +214,3 @@ def detections(points: DataFrame, models: Models, now: int, cfg: DetectorConfig)
         rates = detect.kmeans_window_rate(single, cfg)
         found.append(detect.kmeans_detections(rates, now, cfg))
     return found[0] if len(found) == 1 else found[0].unionByName(found[1])
-
-
-def cleaned(aligned: DataFrame, metrics: list[str], cfg: DetectorConfig) -> DataFrame:
-    """Outlier filter over the wide frame of a training range, back in long form. A metric an
-    instance does not have is no reason to drop its rows."""
-    absent = -1.0e308
-    wide = pivot_wide(aligned, metrics).na.fill(absent, metrics)
-    kept = gates.remove_outliers_iqr(
-        wide,
-        metrics,
-        lower_quantile=cfg.lower_quantile,
-        upper_quantile=cfg.upper_quantile,
-        rows_per_key=cfg.train_steps,
-    )
-    long = kept.unpivot([*INSTANCE, "t"], metrics, "metric", "value")
-    return long.where(F.col("value") != absent)
