@@ -53,14 +53,15 @@ def _bounds_per_series(means: DataFrame, keys: Sequence[str]) -> DataFrame:
 def _known_with_neighbours(
     means: DataFrame, cfg: DetectorConfig, keys: Sequence[str], steps: int | None
 ) -> DataFrame:
-    """Known values of a series with the next known one (``next_t, next_value``) and a flag for the
-    first. A metric that only ever reported missing values keeps one row without a value."""
+    """Known values of a series with the next known one (``next_t, next_value``), a flag for the
+    first, and the instance's bounds ``lo, hi``. A metric that only ever reported missing values
+    keeps one row without a value."""
     series = [*keys, "metric"]
     known = F.col("value").isNotNull()
     if not is_long(cfg, steps):
         # Missing values sort behind the known ones, so lead() finds the next known value.
         w = Window.partitionBy(*series).orderBy(F.col("value").isNull(), "t")
-        return (
+        rows = (
             means.select(
                 "*",
                 F.row_number().over(w).alias("nth"),
@@ -77,15 +78,23 @@ def _known_with_neighbours(
                 "next_value",
             )
         )
+        return rows.join(_bounds_per_series(means, keys), series)
     chunked = means.withColumn(CHUNK, chunk_of(F.col("t"), cfg))
-    # One row per chunk links a chunk to the first known value after it.
+    # One row per chunk links a chunk to the first known value after it and brings the bounds.
+    whole = Window.partitionBy(*keys)
     w_chunks = Window.partitionBy(*series).orderBy(F.col("head").isNull(), CHUNK)
     links = (
         chunked.groupBy(*series, CHUNK)
-        .agg(F.min(F.when(known, F.struct("t", "value"))).alias("head"))
+        .agg(
+            F.min(F.when(known, F.struct("t", "value"))).alias("head"),
+            F.min("t").alias("lo"),
+            F.max("t").alias("hi"),
+        )
         .select(
             *series,
             CHUNK,
+            F.min("lo").over(whole).alias("lo"),
+            F.max("hi").over(whole).alias("hi"),
             (F.row_number().over(w_chunks) == 1).alias("first_chunk"),
             F.lead("head").over(w_chunks).alias("next_head"),
         )
@@ -106,6 +115,8 @@ def _known_with_neighbours(
         first.alias("first"),
         F.when(within, F.col("lt")).otherwise(F.col("next_head.t")).alias("next_t"),
         F.when(within, F.col("lv")).otherwise(F.col("next_head.value")).alias("next_value"),
+        "lo",
+        "hi",
     )
 
 
@@ -118,9 +129,7 @@ def _filled_grid(
     rows and never shuffled.
     """
     freq = F.lit(cfg.freq).cast("long")
-    known = _known_with_neighbours(means, cfg, keys, steps).join(
-        _bounds_per_series(means, keys), [*keys, "metric"]
-    )
+    known = _known_with_neighbours(means, cfg, keys, steps)
     start = F.when(F.col("first"), F.col("lo")).otherwise(F.col("t"))
     stop = F.coalesce(F.col("next_t") - freq, F.col("hi"))
     return known.select("*", F.explode(F.sequence(start, stop, freq)).alias("step"))
