@@ -4,15 +4,30 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
+from threading import local
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a fresh local folder only where it is unset."""
+    """``spark.checkpoint.dir`` of the session, else the folder given to ``setCheckpointDir``.
+
+    A fresh local folder is used only where neither is set and the master is local: on a cluster
+    executors would write to their own disks and later reads would miss the files.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    return folder.rstrip("/") if folder else _local_folder()
+    if not folder:
+        known = spark._jsc.sc().getCheckpointDir()
+        folder = known.get().rsplit("/", 1)[0] if known.isDefined() else None
+    if folder:
+        return folder.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError(f"spark.checkpoint.dir must name a shared folder when the master is {master}")
+    return _local_folder()
 
 
 @lru_cache(maxsize=1)
@@ -25,15 +40,36 @@ def stage_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/stages/{spark.sparkContext.applicationId}"
 
 
+_SCOPES = local()  # per thread: micro-batches run in threads of their own
+
+
 def stage_path(spark: SparkSession, name: str) -> str:
-    return f"{stage_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{stage_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    for paths in getattr(_SCOPES, "open", [])[-1:]:
+        paths.append(path)
+    return path
+
+
+def _delete(spark: SparkSession, paths: Iterable[str]) -> None:
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def stage_scope(spark: SparkSession) -> Iterator[None]:
+    """Stage tables made inside are deleted at the end, for work whose result is stored by then."""
+    _SCOPES.open = [*getattr(_SCOPES, "open", []), []]
+    try:
+        yield
+    finally:
+        _delete(spark, _SCOPES.open.pop())
 
 
 def drop_stage_tables(spark: SparkSession) -> None:
     """Delete the stage tables of this application, once models and detections are stored. Frames
     that still read them, such as models that were not saved elsewhere, become unusable."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(stage_folder(spark))
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    _delete(spark, [stage_folder(spark)])
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

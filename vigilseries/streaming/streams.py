@@ -16,6 +16,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from vigilseries.config import DetectorConfig
 from vigilseries.functions.columns import INSTANCE, SERIES
+from vigilseries.functions.storage import stage_scope
 from vigilseries.operators import detect
 from vigilseries.operators.align import align_means
 from vigilseries.plans import pipeline
@@ -125,9 +126,10 @@ def detection_sink(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         models = load_models()
-        rows = window_detections(score_windows(batch, models, cfg), models, cfg)
         stored = f"{detections_path}/batch={batch_id}"
-        rows.write.mode("overwrite").parquet(stored)
+        with stage_scope(batch.sparkSession):  # stage tables of the batch go once it is stored
+            rows = window_detections(score_windows(batch, models, cfg), models, cfg)
+            rows.write.mode("overwrite").parquet(stored)
         kept = batch.sparkSession.read.schema(rows.schema).parquet(stored)
         now = F.unix_seconds("time")
         messages = detect.alerts_at(kept, now, cfg)
