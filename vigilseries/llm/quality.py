@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigilseries.llm.text import SPACE_CHARS, WORD, column, let, whole, word_array
+from vigilseries.llm.text import WORD, column, let, whole, word_array
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -20,6 +20,8 @@ STOP_WORDS = (
     "el los las y que se del por con una su para es lo como más"
 ).split()
 
+STOP_FORMS = list(dict.fromkeys([*STOP_WORDS, *[w.capitalize() for w in STOP_WORDS]]))
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -39,18 +41,18 @@ RULES = (
     Rule("mean_word_length", "word_chars", "n_words", 200, 1500),
     Rule("symbols_per_word", "n_symbols", "n_words", None, 15, 10),
     Rule("stop_words", "n_stop_words", "n_words", 3, None, 50),
-    Rule("repeated_lines", "n_dup_lines", "n_lines", None, 30),
-    Rule("capital_words", "n_capital_words", "n_words", None, 50, 10),
+    Rule("repeated_lines", "n_dup_lines", "n_lines", None, 50),
+    Rule("capitals", "n_capitals", "word_chars", None, 40, 10),
     Rule("distinct_words", "n_distinct_words", "n_words", 10, None, 10),
 )
 
 
 def _repeat_words(words: Column) -> Column:
     """Words covered by windows of five that occur twice or more in the text."""
-    spots = F.sequence(F.lit(1), F.size(words) - (WINDOW - 1))
+    begins = F.slice(words, F.lit(1), F.size(words) - (WINDOW - 1))
 
-    def key(i: Column) -> Column:
-        return F.xxhash64(*[F.element_at(words, i + k) for k in range(WINDOW)])
+    def key(word: Column, i: Column) -> Column:
+        return F.xxhash64(word, *[F.get(words, i + k) for k in range(1, WINDOW)])
 
     def marked(ordered: Column) -> Column:
         last = F.size(ordered)
@@ -73,25 +75,23 @@ def _repeat_words(words: Column) -> Column:
         )
 
     return F.when(F.size(words) < WINDOW, F.lit(0)).otherwise(
-        let(F.transform(spots, key), counted)
+        let(F.transform(begins, key), counted)
     )
 
 
 def _metrics(text: Column) -> Column:
     def of(words: Column) -> Column:
-        lowered = F.transform(words, lambda w: F.lower(w))
         lines = F.filter(F.split(text, "\n"), lambda x: F.rlike(x, F.lit(WORD)))
-        capital = F.filter(words, lambda w: F.rlike(w, F.lit(r"^\p{Lu}{2,}\P{Ll}*$")))
         return F.struct(
             F.size(words).alias("n_words"),
-            F.length(F.translate(text, SPACE_CHARS, "")).alias("word_chars"),
-            (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).alias("n_symbols"),
+            F.length(F.array_join(words, "")).alias("word_chars"),
+            F.length(F.regexp_replace(text, f"[^{SYMBOLS}]+", "")).alias("n_symbols"),
             F.size(lines).alias("n_lines"),
             (F.size(lines) - F.size(F.array_distinct(lines))).alias("n_dup_lines"),
             _repeat_words(words).alias("n_repeat_words"),
-            F.size(F.filter(lowered, lambda w: w.isin(STOP_WORDS))).alias("n_stop_words"),
-            F.size(capital).alias("n_capital_words"),
-            F.size(F.array_distinct(lowered)).alias("n_distinct_words"),
+            F.size(F.filter(words, lambda w: w.isin(STOP_FORMS))).alias("n_stop_words"),
+            F.length(F.regexp_replace(text, r"\P{Lu}+", "")).alias("n_capitals"),
+            F.size(F.array_distinct(words)).alias("n_distinct_words"),
         )
 
     return let(word_array(text), of)
@@ -109,7 +109,7 @@ def _passes(rule: Rule) -> Column:
 
 METRICS = (
     "n_words word_chars n_symbols n_dup_lines n_repeat_words n_lines n_stop_words "
-    "n_capital_words n_distinct_words"
+    "n_capitals n_distinct_words"
 ).split()
 
 

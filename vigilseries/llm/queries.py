@@ -84,11 +84,9 @@ WITH w AS (
          length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
          len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
          coalesce(n_repeat_words, 0) AS n_repeat_words,
-         len(list_filter(words, lambda x: list_contains({list(dict.fromkeys(quality.STOP_WORDS))!r},
-                                                        lower(x)))) AS n_stop_words,
-         len(list_filter(words, lambda x: regexp_matches(x, '^\p{{Lu}}{{2,}}\P{{Ll}}*$')))
-           AS n_capital_words,
-         len(list_distinct(list_transform(words, lambda x: lower(x)))) AS n_distinct_words
+         len(list_filter(words, lambda x: list_contains({quality.STOP_FORMS!r}, x))) AS n_stop_words,
+         length(regexp_replace(text, '\P{{Lu}}+', '', 'g')) AS n_capitals,
+         len(list_distinct(words)) AS n_distinct_words
   FROM g LEFT JOIN again USING (doc_id)
 ), j AS (
   SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m
