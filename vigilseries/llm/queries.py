@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilseries.llm import exact, mixing, packing, quality, urls
+from vigilseries.llm import chat, exact, html, mixing, packing, quality, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -162,3 +162,45 @@ def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32",
         "sequence_id", "offset",
     )
+
+
+CHAT_SQL = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS who, coalesce(text, '') AS text,
+         coalesce(floor(turn / {chat.BLOCK_TURNS}), -1)::BIGINT AS block
+  FROM conversations
+), s AS (SELECT DISTINCT conv_id, who AS perspective FROM t WHERE who <> 'system'),
+p AS (
+  SELECT t.conv_id, perspective, block, turn, who, text, who = perspective AS own,
+         CASE WHEN who = perspective THEN '{chat.OPEN}assistant' || chr(10)
+              WHEN who = 'system' THEN '{chat.OPEN}system' || chr(10)
+              ELSE '{chat.OPEN}user name=' || who || chr(10) END AS head,
+         '<|im_end|>' || chr(10) AS tail
+  FROM t JOIN s ON t.conv_id IS NOT DISTINCT FROM s.conv_id
+), o AS (
+  SELECT *, coalesce(sum(length(head) + length(text) + length(tail)) OVER w, 0)::BIGINT
+              + length(head) AS start,
+         row_number() OVER (PARTITION BY conv_id, perspective, block ORDER BY turn, who, text) AS k
+  FROM p
+  WINDOW w AS (PARTITION BY conv_id, perspective, block ORDER BY turn, who, text
+               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+)
+SELECT conv_id, perspective, block, string_agg(head || text || tail, '' ORDER BY k) AS text,
+       coalesce(string_agg(start || ':' || (start + length(text)), ',' ORDER BY k)
+                FILTER (own), '') AS masks,
+       count(*) AS n_turns, coalesce(sum(length(text)) FILTER (own), 0)::BIGINT AS n_masked
+FROM o GROUP BY conv_id, perspective, block
+"""
+
+
+@register("op4_chat_formatting", CHAT_SQL)
+def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotated(read(spark, sf_dir, "conversations"))
+
+
+@register("op9_html_extraction")
+def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extracted(read(spark, sf_dir, "pages")).select(
+        F.col("row.page_id").alias("page_id"), F.col("row.url").alias("url"), "text",
+        F.length("text").cast("long").alias("n_chars"),
+    )
