@@ -71,7 +71,7 @@ def main(argv: list[str]) -> int:
         catalog.training = lru_cache(maxsize=None)(catalog.training)
     sf_dir = argv[0] if argv else "/root/testdata/sf0.01"
     spark = (
-        SparkSession.builder.master("local[8]")
+        SparkSession.builder.master(os.environ.get("COMPARE_MASTER", "local[8]"))
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
