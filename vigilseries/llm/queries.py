@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilseries.llm import chat, exact, html, mixing, packing, quality, urls
+from vigilseries.llm import chat, exact, html, mixing, packing, pii, quality, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -204,3 +204,14 @@ def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("row.page_id").alias("page_id"), F.col("row.url").alias("url"), "text",
         F.length("text").cast("long").alias("n_chars"),
     )
+
+
+@register("op5_pii")
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.spans(read(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        *[pii.number(F.col("base"), k).alias(f"n_{k}") for k in pii.KINDS],
+        F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"),
+        pii.joined(F.sort_array(F.concat("base", "added"))).alias("spans"),
+    )
