@@ -9,7 +9,10 @@ are then numbered within their length and look their place up by that number.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -142,49 +145,73 @@ def _slots(made: Plan) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
 
 
 _encoder: dict[str, WordEncoder] = {}
+_DOUBLE = re.compile(r"\s ")
+_UNIT = re.compile(r".+?(?:(?<=\S)(?= )|\Z)", re.S)
+# Letters in every version of Unicode, and what surely is none.
+_LETTERS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+(?=[!-@\[-`{-~\n]|\Z)")
+_LINE = re.compile(r"([^\s]*)\n(?=\S)")
 
 
 class WordEncoder:
-    """Ids of whole texts as bytes (32-bit little-endian), from a cache of their units.
+    """Ids of whole texts as bytes (32-bit little-endian), from caches of their units and parts.
 
     A pre-token of a byte-level vocabulary never reaches from something into white space, so a text
-    may be cut before every blank that follows a non-blank without changing its ids.
+    may be cut before every blank that follows a non-blank without changing its ids. Within such a
+    unit, letters that something other than a letter follows are a pre-token of their own.
     """
 
-    LIMIT = 400_000  # units kept
+    UNITS, PARTS = 300_000, 700_000  # kept of each
 
     def __init__(self, path: str) -> None:
-        import os
-        import re
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, bytes] = {}
-        self.double = re.compile(r"\s ")
-        self.units = re.compile(r".+?(?:(?<=\S)(?= )|\Z)", re.S)
-
-    def cut(self, text: str) -> list[str]:
-        if self.double.search(text):
-            return self.units.findall(text)
-        words = text.split(" ")
-        return [words[0], *[" " + w for w in words[1:]]] if words[0] else [" " + w for w in words[1:]]
+        self.units: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    @staticmethod
+    def cut(text: str) -> list[str]:
+        if _DOUBLE.search(text):
+            return _UNIT.findall(text)
+        first, *words = text.split(" ")
+        units = [" " + w for w in words]
+        return [first, *units] if first else units
+
+    @staticmethod
+    def split(unit: str) -> list[str]:
+        found = []
+        while unit:
+            if letters := _LETTERS.match(unit):
+                found.append(letters[0])
+                unit = unit[letters.end() :]
+            if not unit:
+                break
+            if not (line := _LINE.match(unit)):
+                found.append(unit)
+                break
+            found += [line[1], "\n"] if line[1] else ["\n"]
+            unit = unit[line.end() :]
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self.cut(t) for t in texts]
-        known = self.known
-        if len(known) > self.LIMIT:
-            known.clear()
-        new = list({u for units in cut for u in units if u not in known})
-        for at in range(0, len(new), 10_000):
-            some = new[at : at + 10_000]
-            for unit, found in zip(
-                some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True
-            ):
-                known[unit] = np.array(found.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, units)) for units in cut]
+        if len(self.units) > self.UNITS:
+            self.units.clear()
+        if len(self.parts) > self.PARTS:
+            self.parts.clear()
+        units, parts = self.units, self.parts
+        new = {u: self.split(u) for text in cut for u in text if u not in units}
+        unknown = list({p for some in new.values() for p in some if p not in parts})
+        for at in range(0, len(unknown), 10_000):
+            some = unknown[at : at + 10_000]
+            ids = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
+            for part, found in zip(some, ids, strict=True):
+                parts[part] = array("I", found.ids).tobytes()
+        for unit, some in new.items():
+            units[unit] = b"".join([parts[p] for p in some])
+        return [b"".join([units[u] for u in text]) for text in cut]
 
 
 _PIECE = "doc_id long, piece int, start long, length int, ids_crc32 long"
