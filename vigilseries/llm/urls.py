@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from vigilseries.llm.text import ascii_lower, column, row_struct
 
-SAMPLED_PER_PARTITION = 100  # keys in the sample for each partition that is cut
+SAMPLED_PER_PARTITION = 20  # keys in the sample for each partition that is cut
 ROWS_PER_PARTITION = 100_000
 
 _RULE = "host string, path string, verdict string"
@@ -49,25 +49,12 @@ def _splitters(keyed: DataFrame) -> list[tuple[str, int]]:
     total = keyed.count()
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // ROWS_PER_PARTITION))
     step = max(1, total // (parts * SAMPLED_PER_PARTITION))
-    sample = keyed.where(F.pmod("spread", F.lit(step)) == 0).select("key", "spread")
-    borders = (
-        sample.repartitionByRange(1, "key", "spread")
-        .sortWithinPartitions("key", "spread")
-        .mapInArrow(_every(parts), "key string, spread long")
+    sample = sorted(
+        (r["key"], r["spread"])
+        for r in keyed.where(F.pmod("spread", F.lit(step)) == 0).select("key", "spread").collect()
     )
-    return [(r["key"], r["spread"]) for r in borders.collect()]
-
-
-def _every(parts: int):
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [b for b in batches if b.num_rows]
-        if rows:
-            table = pa.Table.from_batches(rows)
-            step = max(1, table.num_rows // parts)
-            found = table.take(list(range(step, table.num_rows, step))).combine_chunks()
-            yield from found.to_batches()
-
-    return pick
+    every = max(1, -(-len(sample) // parts))
+    return sample[every::every]
 
 
 class _Stack:
