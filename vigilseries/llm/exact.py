@@ -50,7 +50,7 @@ def _runs(docs: DataFrame, id_column: str, text_column: str, carry: bool) -> Dat
     """Sorted rows with partition, run and whether the row starts its run; with ``carry`` only
     those that do, with their other columns. One more row per partition holds its edge texts."""
     ordered = _sorted(docs, id_column, text_column, carry)
-    kept = [f for f in ordered.schema.fields if f.name != "norm"]
+    kept = [T.StructField(f.name, f.dataType) for f in ordered.schema.fields if f.name != "norm"]
     schema = T.StructType(
         [
             *kept,

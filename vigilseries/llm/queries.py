@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilseries.llm import chat, exact, html, mixing, packing, pii, quality, urls
+from vigilseries.llm import chat, exact, html, mixing, near, packing, pii, quality, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -215,3 +215,12 @@ def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"),
         pii.joined(F.sort_array(F.concat("base", "added"))).alias("spans"),
     )
+
+
+@register("op8_minhash_near_dedup")
+def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near.classes(read(spark, sf_dir, "documents"), words=4, similarity=80)
+    return found.select(
+        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id",
+        F.col("id").eqNullSafe(F.col("component_id")).alias("kept"),
+    )
