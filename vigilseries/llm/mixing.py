@@ -13,7 +13,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilseries.functions.storage import materialise
@@ -41,30 +41,26 @@ def targets(sizes: DataFrame) -> DataFrame:
     )
     fullness = (F.col("cap") / F.col("weight")).asc()
     whole = Window.partitionBy()
-    before = Window.orderBy(fullness, F.asc_nulls_last("source")).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
+    in_order = Window.orderBy(fullness, F.asc_nulls_last("source"))
+    before = in_order.rowsBetween(Window.unboundedPreceding, -1)
     level = weighed.select(
         "*",
         F.sum("source_size").over(whole).alias("all_size"),
         F.sum("weight").over(whole).alias("all_weight"),
         F.coalesce(F.sum("cap").over(before), F.lit(0)).alias("caps_before"),
         F.coalesce(F.sum("weight").over(before), F.lit(0)).alias("weights_before"),
+        F.row_number().over(in_order).alias("position"),
     )
     # The level if exactly the sources before this one are capped; the first source that it does
     # not cap sets it.
     rest = (F.col("all_size") - F.col("caps_before")).cast("double")
     level = level.withColumn("level", rest / (F.col("all_weight") - F.col("weights_before")))
     free = F.col("level") * F.col("weight") <= F.col("cap")
-    level = level.withColumn("water", F.min(F.when(free, F.struct(fullness_key(), "level"))).over(whole))
+    level = level.withColumn("water", F.min(F.when(free, F.struct("position", "level"))).over(whole))
     target = F.least(F.col("cap").cast("double"), F.col("water.level") * F.col("weight"))
     return level.select("source", "source_size", F.coalesce(target, F.lit(0.0)).alias("target"))
 
 
-def fullness_key() -> Column:
-    return (F.col("cap") / F.col("weight")).alias("fullness")
-
-
 def pivotal(size: np.ndarray, share: np.ndarray, rank: np.ndarray, seed: int) -> tuple[np.ndarray, int]:
     """Round shares in [0, 1) of documents in the given order; returns the shares, all 0 or 1 but
     for one, and the place of that one (-1 if none is left). Sizes are positive. The random number
