@@ -23,6 +23,9 @@ def brute(pairs):
             before.update(history)
     total, kinds = sum(one.values()), len(one)
 
+    if not total:
+        return [(i, held, len(words), 0, 0, 0.0, 0.0) for i, held, words in docs]
+
     def factors(counts):
         spectrum = Counter(counts.values())
         return lm.Discounts.of([spectrum[r] for r in range(1, lm.MOST + 2)]).factor
@@ -32,10 +35,11 @@ def brute(pairs):
     def cut(d, c):
         return (d[c] if c <= lm.MOST else 1.0) * c
 
-    unknown = 1 - sum(cut(d1, c) for c in one.values()) / total if total else 1.0
+    left = total - sum(cut(d1, c) for c in one.values())
+    unknown, whole = (left / total, total) if left > 1e-9 else (1 / (total + 1), total + 1)
 
     def single(w):
-        return cut(d1, one[w]) / total if one[w] else unknown
+        return cut(d1, one[w]) / whole if one[w] else unknown
 
     mass, lower = Counter(), Counter()
     for (h, w), c in two.items():

@@ -145,22 +145,38 @@ def _slots(made: Plan) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
 
 
 _encoder: dict[str, WordEncoder] = {}
-_DOUBLE = re.compile(r"\s ")
-_UNIT = re.compile(r".+?(?:(?<=\S)(?= )|\Z)", re.S)
-# Letters in every version of Unicode, and what surely is none.
-_LETTERS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+(?=[!-@\[-`{-~\n]|\Z)")
-_LINE = re.compile(r"([^\s]*)\n(?=\S)")
+# Letters are letters in every version of Unicode; what ends them surely is none.
+_PARTS = re.compile(
+    r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+(?=[!-@\[-`{-~ \n]|\Z)|"
+    r" ?[!-@\[-`{-~]+(?=[ \n]|\Z)|"
+    r"\n(?=\S)|"
+    r".+?(?:(?<=\S)(?= )|\Z)",
+    re.S,
+)
+
+
+class _Known(dict):
+    """Ids of parts, found when they are first asked for."""
+
+    def __init__(self, tokenizer) -> None:
+        super().__init__()
+        self.tokenizer = tokenizer
+
+    def __missing__(self, part: str) -> bytes:
+        ids = array("I", self.tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
+        self[part] = ids
+        return ids
 
 
 class WordEncoder:
-    """Ids of whole texts as bytes (32-bit little-endian), from caches of their units and parts.
+    """Ids of whole texts as bytes (32-bit little-endian), from a cache of their parts.
 
-    A pre-token of a byte-level vocabulary never reaches from something into white space, so a text
-    may be cut before every blank that follows a non-blank without changing its ids. Within such a
-    unit, letters that something other than a letter follows are a pre-token of their own.
+    A pre-token of a byte-level vocabulary never reaches from something into white space, a run of
+    letters that something else follows is one, and so is a line break before something; a text may
+    be cut at all of these without changing its ids.
     """
 
-    UNITS, PARTS = 300_000, 700_000  # kept of each
+    LIMIT = 1_000_000  # parts kept
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -168,50 +184,13 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.units: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    @staticmethod
-    def cut(text: str) -> list[str]:
-        if _DOUBLE.search(text):
-            return _UNIT.findall(text)
-        first, *words = text.split(" ")
-        units = [" " + w for w in words]
-        return [first, *units] if first else units
-
-    @staticmethod
-    def split(unit: str) -> list[str]:
-        found = []
-        while unit:
-            if letters := _LETTERS.match(unit):
-                found.append(letters[0])
-                unit = unit[letters.end() :]
-            if not unit:
-                break
-            if not (line := _LINE.match(unit)):
-                found.append(unit)
-                break
-            found += [line[1], "\n"] if line[1] else ["\n"]
-            unit = unit[line.end() :]
-        return found
+        self.known = _Known(self.tokenizer)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.cut(t) for t in texts]
-        if len(self.units) > self.UNITS:
-            self.units.clear()
-        if len(self.parts) > self.PARTS:
-            self.parts.clear()
-        units, parts = self.units, self.parts
-        new = {u: self.split(u) for text in cut for u in text if u not in units}
-        unknown = list({p for some in new.values() for p in some if p not in parts})
-        for at in range(0, len(unknown), 10_000):
-            some = unknown[at : at + 10_000]
-            ids = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
-            for part, found in zip(some, ids, strict=True):
-                parts[part] = array("I", found.ids).tobytes()
-        for unit, some in new.items():
-            units[unit] = b"".join([parts[p] for p in some])
-        return [b"".join([units[u] for u in text]) for text in cut]
+        if len(self.known) > self.LIMIT:
+            self.known.clear()
+        ids = self.known.__getitem__
+        return [b"".join(map(ids, _PARTS.findall(text))) for text in texts]
 
 
 _PIECE = "doc_id long, piece int, start long, length int, ids_crc32 long"
