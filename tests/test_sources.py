@@ -190,7 +190,9 @@ def test_detection_rows_and_alerts(spark, tmp_path):
     assert fields.count() == 15
     assert store.kmeans_over(stored, NOW + 1, cfg).columns == ["time", "node", "metrics", "anomaly_rate"]
     assert store.kmeans_over(stored, NOW + 1, cfg).count() == 2
-    assert store.nsa_mean_by_node(stored, NOW + 1, cfg).first()["mean_rate"] == pytest.approx(48.5)
+    assert store.nsa_mean_by_node(stored, NOW + 1, cfg).first()["mean_rate"] == pytest.approx(77.0)
+    twice = stored.unionByName(store.read_detections(spark, path).withColumn("metricValue", F.lit(78.0)))
+    assert {r["metricValue"] for r in store.latest(twice).collect()} == {78.0}  # same time of writing
 
 
 def test_window_rate(spark):

@@ -203,6 +203,16 @@ def control_filter(spark, sf_dir):
     )
 
 
+@register(
+    "subject_filter",
+    f"""SELECT subject, application, version, {big('received_at')} AS received_at, event_id AS "offset"
+    FROM x_control WHERE subject = 'shop_1'""",
+)
+def subject_filter(spark, sf_dir):
+    found = control.for_subject(control.control_messages(tables.control(spark, sf_dir)), "shop_1")
+    return found.select("subject", "application", "version", "received_at", "offset")
+
+
 @register("app_registry", "SELECT application, version FROM x_registry")
 def app_registry(spark, sf_dir):
     return control.registry(control.control_messages(tables.control(spark, sf_dir)))
@@ -843,10 +853,10 @@ def centre_columns() -> list:
     return [F.col(f"c{i}")[n].alias(f"c{i}_{n}") for i in (0, 1) for n in range(4)]
 
 
-@register("kmeans_fit", f"SELECT {SER}, {CENTRE_SQL} FROM x_lloyd WHERE it = 10")
+@register("kmeans_fit", f"SELECT {SER}, {CENTRE_SQL} FROM x_centres")
 def kmeans_fit(spark, sf_dir):
     rows = training(spark, sf_dir).features(C.kmeans_shape)
-    found = kmeans.fit(rows, replace(C, kmeans_iterations=10), C.train_steps)
+    found = kmeans.fit(rows, C, C.train_steps)
     return found.select(*SERIES, *centre_columns())
 
 
@@ -1028,7 +1038,7 @@ FIELD_NAMES = ", ".join(f'"{f}"' for f in store.FIELDS)
 @register(
     "q_recent_detections",
     f"""SELECT {big('time')} AS time, method, node, metrics, field, field_value FROM (UNPIVOT (
-    SELECT time, method, node, metrics, {FIELD_TEXT} FROM x_stored WHERE application_name = 'shop_0'
+    SELECT time, method, node, metrics, {FIELD_TEXT} FROM x_current WHERE application_name = 'shop_0'
       AND time >= {NOW - DAY} AND time < {NOW}) ON {FIELD_NAMES} INTO NAME field VALUE field_value)""",
 )
 def q_recent_detections(spark, sf_dir):
@@ -1037,7 +1047,7 @@ def q_recent_detections(spark, sf_dir):
 
 @register(
     "q_kmeans_over",
-    f"""SELECT {big('time')} AS time, node, metrics, {r7('metricValue')} AS anomaly_rate FROM x_stored
+    f"""SELECT {big('time')} AS time, node, metrics, {r7('metricValue')} AS anomaly_rate FROM x_current
     WHERE method = 'kmeans' AND metricValue > 30.0 AND time >= {NOW - 6 * 3600} AND time < {NOW}""",
 )
 def q_kmeans_over(spark, sf_dir):
@@ -1046,7 +1056,7 @@ def q_kmeans_over(spark, sf_dir):
 
 @register(
     "q_nsa_mean_by_node",
-    f"""SELECT node, {r7('avg(metricValue)')} AS mean_rate FROM x_stored WHERE method = 'nsa'
+    f"""SELECT node, {r7('avg(metricValue)')} AS mean_rate FROM x_current WHERE method = 'nsa'
     AND time >= {NOW - 12 * 3600} AND time < {NOW} GROUP BY ALL""",
 )
 def q_nsa_mean_by_node(spark, sf_dir):
@@ -1119,7 +1129,7 @@ def stream_minute_mean(spark, sf_dir):
     return found.select(*SERIES, epoch(F.col("step.start")).alias("t"), "value")
 
 
-SLIDE = DAY
+SLIDE = C.horizon
 o.part(
     "x_windows",
     f"""SELECT w AS window_end FROM (SELECT unnest(generate_series({LO} + {SLIDE}, {NOW} + {C.score_seconds}, {SLIDE})) AS w),

@@ -561,7 +561,12 @@ part(
   CASE WHEN event_type = 'error' THEN 'nsa' ELSE 'kmeans' END AS method,
   CASE WHEN event_type = 'error' THEN 'adt_click,adt_view' ELSE 'adt_' || event_type END AS metrics,
   '3' AS level, least(value, 100.0) AS metricValue, value >= 20 AS anomaly, {HOURS} + {HOUR} AS predictionTime,
-  {HOURS} - {120 * HOUR} AS window_start, {HOURS} AS window_end, event_id FROM events""",
+  {HOURS} - {120 * HOUR} AS window_start, {HOURS} AS window_end, event_id, event_id AS written FROM events""",
+)
+part(
+    "x_current",
+    """SELECT * FROM x_stored QUALIFY row_number() OVER (PARTITION BY time, measurement, application_name,
+  node, method, metrics, level ORDER BY written DESC) = 1""",
 )
 part(
     "x_daily",

@@ -54,8 +54,9 @@ def read_detections(spark: SparkSession, path: str) -> DataFrame:
 
 
 def latest(detections: DataFrame) -> DataFrame:
-    """Rows with the same measurement, tags and time overwrite each other: the last written stays."""
-    newest = F.max_by(F.struct(*FIELDS), "written").alias("newest")
+    """Rows with the same measurement, tags and time overwrite each other: the last written stays,
+    of several written at once the one with the largest values."""
+    newest = F.max_by(F.struct(*FIELDS), F.struct("written", *FIELDS)).alias("newest")
     return detections.groupBy("time", "measurement", *TAGS).agg(newest).select(
         "time", "measurement", *TAGS, "newest.*"
     )
@@ -73,9 +74,13 @@ def since(detections: DataFrame, now: int, hours: int) -> DataFrame:
 def recent_detections(
     detections: DataFrame, application: str, now: int, hours: int = 24
 ) -> DataFrame:
-    """All detections of an application, newest first, one row per field (values as text)."""
-    rows = since(detections, now, hours).where(
-        F.col("measurement").startswith("_predicted_") & (F.col("application_name") == application)
+    """All detections of an application that were not overwritten, newest first, one row per field
+    (values as text)."""
+    rows = latest(
+        since(detections, now, hours).where(
+            F.col("measurement").startswith("_predicted_")
+            & (F.col("application_name") == application)
+        )
     )
     texts = [F.col(f).cast("string").alias(f) for f in FIELDS]
     kept = ["time", "method", "node", "metrics"]
@@ -89,10 +94,10 @@ def recent_detections(
 def kmeans_over(
     detections: DataFrame, now: int, cfg: DetectorConfig, limit: float = 30.0, hours: int = 6
 ) -> DataFrame:
-    """Univariate detections above a rate."""
+    """Univariate detections whose last written rate is above a limit."""
     return (
-        since(detections, now, hours)
-        .where((F.col("method") == cfg.kmeans_method) & (F.col("metricValue") > limit))
+        latest(since(detections, now, hours).where(F.col("method") == cfg.kmeans_method))
+        .where(F.col("metricValue") > limit)
         .select("time", "node", "metrics", "metricValue")
         .withColumnRenamed("metricValue", "anomaly_rate")
     )
@@ -101,10 +106,9 @@ def kmeans_over(
 def nsa_mean_by_node(
     detections: DataFrame, now: int, cfg: DetectorConfig, hours: int = 12
 ) -> DataFrame:
-    """Mean rate of the multivariate detections per node."""
+    """Mean rate of the multivariate detections per node, as last written."""
     return (
-        since(detections, now, hours)
-        .where(F.col("method") == cfg.nsa_method)
+        latest(since(detections, now, hours).where(F.col("method") == cfg.nsa_method))
         .groupBy("node")
         .agg(F.avg("metricValue").alias("mean_rate"))
     )
