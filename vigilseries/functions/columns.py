@@ -72,3 +72,16 @@ def hash_uniform(*parts: Column) -> Column:
     """A number in [0, 1) from the first 32 bits of an md5, the same in any engine."""
     digest = F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]))
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+
+
+SALTS = 16  # parts of a key that may hold much of the data
+
+
+def salt(*parts: Column) -> Column:
+    """Which part of its key a row is in."""
+    return F.pmod(F.xxhash64(*parts), F.lit(SALTS)).cast("int")
+
+
+def every_salt() -> Column:
+    """A row of the small side for each part of the key."""
+    return F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vigilseries.functions.columns import every_salt, salt
+
 # Above this many rows per group the in-memory aggregate is replaced by the bracketing plan.
 IN_MEMORY_ROWS = 200_000
 SKETCH_ACCURACY = 10_000
@@ -69,12 +71,18 @@ def bracketed_quantiles(
             )
         )
     wanted = sketch.select(*keys, F.explode(F.array(*brackets)).alias("_b"))
+    # Equal values are counted first; a large group then meets its brackets in several tasks.
+    parted = (
+        known.groupBy(*keys, "_v")
+        .agg(F.count(F.lit(1)).alias("_m"))
+        .withColumn("_salt", salt(F.col("_v")))
+    )
     inside = F.when(F.col("_v") >= F.col("_b.low"), F.col("_v"))
     counts = (
-        known.join(wanted, keys)
+        parted.join(wanted.withColumn("_salt", every_salt()), [*keys, "_salt"])
         .where(F.col("_v") <= F.col("_b.high"))
         .groupBy(*keys, "_b", inside.alias("_w"))
-        .agg(F.count(F.lit(1)).alias("_c"))
+        .agg(F.sum("_m").alias("_c"))
     )
     order = Window.partitionBy(*keys, "_b").orderBy(F.col("_w").asc_nulls_first())
     upto = F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, 0))

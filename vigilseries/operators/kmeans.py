@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilseries.config import DetectorConfig
-from vigilseries.functions.columns import INSTANCE, SERIES, euclidean
+from vigilseries.functions.columns import INSTANCE, SERIES, euclidean, every_salt, salt
 from vigilseries.functions.quantiles import IN_MEMORY_ROWS, bracketed_quantiles
 from vigilseries.functions.storage import materialise
 from vigilseries.operators.features import lag_columns
@@ -62,37 +62,52 @@ def fit(features: DataFrame, cfg: DetectorConfig, steps: int | None = None) -> D
 
 
 def fit_distributed(features: DataFrame, cfg: DetectorConfig) -> DataFrame:
-    """The same algorithm for all models at once: every iteration is one aggregate (partial sums
-    before the shuffle), its small result a written table; ends when no centre moves."""
+    """The same algorithm for all models at once: every iteration is one aggregate of the series
+    that still move, its small result a written table. A series ends when no row changes its
+    cluster; a long one meets its centres in several tasks, with partial sums before the shuffle."""
     columns = lag_columns(cfg.kmeans_shape)
-    rows = materialise(features.select(*SERIES, "t", *columns), "kmeans-features")
+    rows = features.select(*SERIES, "t", *columns).withColumn("salt", salt(F.col("t")))
+    rows = materialise(rows, "kmeans-features")
     point = F.array(*columns)
     norm = sum((F.col(c) * F.col(c) for c in columns), F.lit(0.0))
     smallest = rows.groupBy(*SERIES).agg(F.min_by(point, F.struct(norm, F.col("t"))).alias("c0"))
     away = _squared(columns, "c0")
-    centres = materialise(
-        rows.join(smallest, [*SERIES])
+    none = F.lit(None).cast("array<double>")
+    moving = materialise(
+        rows.join(smallest.withColumn("salt", every_salt()), [*SERIES, "salt"])
         .groupBy(*SERIES)
-        .agg(F.first("c0").alias("c0"), F.max_by(point, F.struct(away, -F.col("t"))).alias("c1")),
+        .agg(F.first("c0").alias("c0"), F.max_by(point, F.struct(away, -F.col("t"))).alias("c1"))
+        .select(*SERIES, "c0", "c1", none.alias("p0"), none.alias("p1")),
         "kmeans-centres",
     )
+    done = []
     for _ in range(cfg.kmeans_iterations):
-        joined = rows.join(centres, [*SERIES])
+        joined = rows.join(moving.withColumn("salt", every_salt()), [*SERIES, "salt"])
         near0 = _squared(columns, "c0") <= _squared(columns, "c1")
+        before = _squared(columns, "p0") <= _squared(columns, "p1")
         mean0 = [F.avg(F.when(near0, F.col(c))) for c in columns]
         mean1 = [F.avg(F.when(~near0, F.col(c))) for c in columns]
         old0, old1 = F.first("c0"), F.first("c1")
+        still = F.coalesce(F.bool_and(near0.eqNullSafe(before)), F.lit(False))
         moved = joined.groupBy(*SERIES).agg(
-            F.array(*[F.coalesce(m, old0[i]) for i, m in enumerate(mean0)]).alias("c0"),
-            F.array(*[F.coalesce(m, old1[i]) for i, m in enumerate(mean1)]).alias("c1"),
-            old0.alias("old0"),
-            old1.alias("old1"),
+            F.when(still, old0)
+            .otherwise(F.array(*[F.coalesce(m, old0[i]) for i, m in enumerate(mean0)]))
+            .alias("c0"),
+            F.when(still, old1)
+            .otherwise(F.array(*[F.coalesce(m, old1[i]) for i, m in enumerate(mean1)]))
+            .alias("c1"),
+            old0.alias("p0"),
+            old1.alias("p1"),
+            still.alias("still"),
         )
         table = materialise(moved, "kmeans-centres")
-        centres = table.drop("old0", "old1")
-        still = (F.col("c0") == F.col("old0")) & (F.col("c1") == F.col("old1"))
-        if table.where(~still).isEmpty():
+        done.append(table.where("still").select(*SERIES, "c0", "c1"))
+        moving = table.where(~F.col("still")).drop("still")
+        if moving.isEmpty():
             break
+    centres = moving.select(*SERIES, "c0", "c1")
+    for part in done:
+        centres = centres.unionByName(part)
     return centres
 
 

@@ -188,13 +188,15 @@ def k_nearest(
         found_q, found_r, found_d = [], [], []
         for part in _slices(len(q), len(r)):
             d2 = squared_distances(q[part], r)
-            edge = np.partition(d2, take - 1, axis=1)[:, take - 1]
-            for row, limit in enumerate(edge):
-                close = np.nonzero(d2[row] <= limit)[0]
-                close = close[np.lexsort((rid[close], d2[row, close]))][:take]
-                found_q.append(np.full(len(close), part.start + row))
-                found_r.append(close)
-                found_d.append(np.sqrt(d2[row, close]))
+            rows = np.arange(len(d2))[:, None]
+            close = np.argpartition(d2, take - 1, axis=1)[:, :take]
+            edge = d2[rows, close].max(axis=1)
+            for row in np.flatnonzero((d2 <= edge[:, None]).sum(axis=1) > take):
+                tied = np.flatnonzero(d2[row] <= edge[row])  # the smallest rid wins at the edge
+                close[row] = tied[np.lexsort((rid[tied], d2[row, tied]))][:take]
+            found_q.append(np.repeat(np.arange(part.start, part.start + len(d2)), take))
+            found_r.append(close.ravel())
+            found_d.append(np.sqrt(d2[rows, close]).ravel())
         at = np.concatenate(found_r)
         return {
             "_query": np.concatenate(found_q),

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from vigilseries.config import DetectorConfig
 from vigilseries.functions.arrow import list_matrix, matrix_list
-from vigilseries.functions.columns import INSTANCE, hash_uniform, vector_norm
+from vigilseries.functions.columns import INSTANCE, every_salt, hash_uniform, salt, vector_norm
 from vigilseries.functions.quantiles import IN_MEMORY_ROWS
 from vigilseries.functions.storage import materialise
 from vigilseries.operators.neighbours import distinct_points, first_copies, k_nearest, nearest
@@ -291,7 +291,10 @@ def walks(rejected: DataFrame, cfg: DetectorConfig, max_dim: int) -> DataFrame:
 def perturbed(rejected: DataFrame, cfg: DetectorConfig, max_dim: int) -> DataFrame:
     """Every rejected candidate at each of its later positions."""
     moved = F.transform("centre", lambda x, j: x + F.get("offset", j))
-    return rejected.join(walks(rejected, cfg, max_dim), "cand").select(
+    # A candidate such as the root corner is rejected in many instances: they share its walk in parts.
+    parted = rejected.withColumn("salt", salt(*[F.col(c) for c in INSTANCE]))
+    offsets = walks(rejected, cfg, max_dim).withColumn("salt", every_salt())
+    return parted.join(offsets, ["cand", "salt"]).select(
         *INSTANCE, "cand", "attempt", moved.alias("centre")
     )
 
