@@ -33,7 +33,7 @@ from vigilseries.functions.storage import materialise, stage_path
 from vigilseries.llm.text import column
 
 FOLDS = 10  # documents whose checksum leaves 0 are held out
-TOKENS = 3_000_000  # of a batch
+TOKENS = 1_000_000  # of a batch
 MOST = 5  # counts above are not discounted
 END = xxhash.xxh64_intdigest(b"")  # no word is empty,
 START = xxhash.xxh64_intdigest(b"\n")  # and none has white space
@@ -153,7 +153,7 @@ def _read(parts: int, id_type: pa.DataType | None = None):
                 ["batch", "ids", "held", "tokens", "words"],
             )
 
-        for rows in batches:
+        for rows in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
             kind = rows.column(0).type
             for key, out, text in zip(*(rows.column(i).to_pylist() for i in range(3)), strict=True):
                 split = (text or "").encode("utf-8", "replace").lower().split()
@@ -239,7 +239,7 @@ class _Batch:
         keys = [np.cumsum(unpack(p)[0].astype(np.uint64), dtype=np.uint64) for p in own["words"][0].as_py()]
         start = int(np.flatnonzero(np.concatenate(keys) == np.uint64(START))[0])
         firsts = np.cumsum(self.lengths) - self.lengths
-        self.before = np.r_[0, self.tokens[:-1]]
+        self.before = np.r_[np.int64(0), self.tokens[:-1]]
         self.before[firsts] = start
         self.firsts = firsts
         # Distinct pairs of known words, in the order of the questions.
