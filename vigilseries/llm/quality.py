@@ -122,9 +122,10 @@ def judged(docs: DataFrame, text_column: str = "text", rules: tuple[Rule, ...] =
     cannot clash, they stay inside ``row``.
     """
     row = F.struct(*[column(c) for c in docs.columns]).alias("row")
-    measured = docs.select(row, _metrics(whole(column(text_column))).alias("m")).select(
-        "row", *[F.col(f"m.{m}").cast("long").alias(m) for m in METRICS]
-    )
+    # One generated row: a filter on the verdict stays above it, so the metrics are computed once.
+    measured = docs.select(
+        row, F.inline(F.array(_metrics(whole(column(text_column)))))
+    ).select("row", *[F.col(m).cast("long").alias(m) for m in METRICS])
     base = (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
     failed = F.array_compact(
         F.array(*[F.when(~_passes(r), F.lit(r.name)) for r in rules])
