@@ -61,6 +61,22 @@ ENDS = {
 }
 
 
+@dataclass(frozen=True)
+class _Open:
+    """An open element, and what it or any element around it is."""
+
+    tag: str = ""
+    furniture: bool = False
+    story: bool = False
+    silent: bool = False
+    linked: bool = False
+    heading: bool = False
+    item: bool = False
+
+
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+
+
 @dataclass
 class Block:
     text: str
@@ -75,30 +91,30 @@ class Block:
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order; markup may be broken or end anywhere."""
     found: list[Block] = []
-    open_tags: list[tuple[str, bool, bool]] = []  # tag, opens furniture, opens a story
+    stack = [_Open()]
+    number: dict[str, int] = {}  # of open elements by tag
     text: list[str] = []
     links: list[str] = []
 
     def close_block() -> None:
         words = html.unescape("".join(text)).split()
         if words:
-            tags = {t for t, _, _ in open_tags}
-            story = furniture = False
-            for _, is_furniture, is_story in open_tags:
-                furniture, story = furniture or is_furniture, story or is_story
+            top, linked = stack[-1], len(html.unescape("".join(links)).split())
             found.append(
-                Block(
-                    " ".join(words), len(words), len(html.unescape("".join(links)).split()),
-                    furniture, story, bool(tags & {"h1", "h2", "h3", "h4", "h5", "h6"}), "li" in tags,
-                )
+                Block(" ".join(words), len(words), linked, top.furniture, top.story, top.heading, top.item)
             )
         text.clear()
         links.clear()
 
+    def close_from(k: int) -> None:
+        for element in stack[k:]:
+            number[element.tag] -= 1
+        del stack[k:]
+
     def add(part: str) -> None:
-        if part and not any(t in SILENT for t, _, _ in open_tags):
+        if part and not stack[-1].silent:
             text.append(part)
-            if any(t == "a" for t, _, _ in open_tags):
+            if stack[-1].linked:
                 links.append(part)
 
     at, end = 0, len(page)
@@ -114,10 +130,8 @@ def blocks(page: str) -> list[Block]:
         if token["end"]:
             if tag in BLOCKS or tag in SILENT:
                 close_block()
-            for k in range(len(open_tags) - 1, -1, -1):
-                if open_tags[k][0] == tag:
-                    del open_tags[k:]
-                    break
+            if number.get(tag):
+                close_from(next(k for k in range(len(stack) - 1, -1, -1) if stack[k].tag == tag))
             continue
         if tag == "br":
             add(" ")
@@ -125,14 +139,12 @@ def blocks(page: str) -> list[Block]:
             close_block()
         if tag in VOID or token["rest"].rstrip().endswith("/"):
             continue
-        if open_tags and tag in ENDS.get(open_tags[-1][0], ()):
-            open_tags.pop()
-        elif tag in BLOCKS:  # a paragraph ends even under inline elements
-            for k in range(len(open_tags) - 1, -1, -1):
-                if open_tags[k][0] in BLOCKS:
-                    if open_tags[k][0] == "p":
-                        del open_tags[k:]
-                    break
+        if tag in ENDS.get(stack[-1].tag, ()):
+            close_from(len(stack) - 1)
+        elif tag in BLOCKS and number.get("p"):  # a paragraph ends even under inline elements
+            k = next(k for k in range(len(stack) - 1, -1, -1) if stack[k].tag in BLOCKS)
+            if stack[k].tag == "p":
+                close_from(k)
         if tag in RAW:
             close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             stop = close.start() if close else end
@@ -142,15 +154,22 @@ def blocks(page: str) -> list[Block]:
             continue
         names = " ".join(x for m in NAMES.findall(token["rest"]) for x in m if x)
         role = ROLE.search(token["rest"])
-        in_story = any(s for _, _, s in open_tags)
+        top = stack[-1]
         furniture = (
             tag in FURNITURE
-            or (tag == "header" and not in_story)
+            or (tag == "header" and not top.story)
             or bool(names and tag not in ("body", "html") and NAMED.search(names))
             or bool(role and role[1].lower() in ROLES)
             or bool(HIDDEN.search(token["rest"]))
         )
-        open_tags.append((tag, furniture, tag in STORY or bool(role and role[1].lower() == "main")))
+        story = tag in STORY or bool(role and role[1].lower() == "main")
+        number[tag] = number.get(tag, 0) + 1
+        stack.append(
+            _Open(
+                tag, top.furniture or furniture, top.story or story, top.silent or tag in SILENT,
+                top.linked or tag == "a", top.heading or tag in HEADINGS, top.item or tag == "li",
+            )
+        )
     close_block()
     return found
 
