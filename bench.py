@@ -1,7 +1,9 @@
 """Fleet benchmark: one JSON line with the seconds per stage and fleet size.
 
 Every stage is timed on its own on written inputs of the stage before, for fleets of 4, 20 and 200
-instances over the same events; ``rate`` lists instance-windows trained and scored per second.
+instances over the same events; ``rate`` lists instance-windows trained and scored per second. The
+``fixed_`` entries take 2 and 20 of the 200 instances, so every instance has as many points as there:
+they and the fleet of 200 show how the work grows with the number of instances alone.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ import time
 from dataclasses import replace
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -22,6 +25,7 @@ from vigilseries.plans import catalog, pipeline, tables  # noqa: E402
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 FLEETS = {"4": 2, "20": 10, "200": 100}
+FIXED = [2, 20]
 SINGLE = ["align_fleet", "outliers_iqr", "knn_labelled", "detections_latest", "stream_minute_mean"]
 
 
@@ -84,6 +88,16 @@ def main() -> None:
         rates[f"trained_per_sec_{fleet}"] = round(int(fleet) / train, 3)
         rates[f"scored_per_sec_{fleet}"] = round(int(fleet) / seconds[f"detections_{fleet}"], 3)
 
+    for count in FIXED:
+        shops = [f"shop_{k}" for k in range(count // 2)]
+        points = tables.points(spark, SF_DIR, FLEETS["200"]).where(F.col("application").isin(shops))
+        run = pipeline.TrainingRun(points, tables.NOW, cfg)
+        timed(f"fixed_train_{count}", lambda: (run.nsa_model, run.kmeans_models))
+        timed(
+            f"fixed_detections_{count}",
+            lambda: drain(pipeline.detections(points, run.models, tables.NOW, cfg)),
+        )
+
     for name in SINGLE:
         timed(name, lambda: drain(catalog.QUERIES[name](spark, SF_DIR)))
 
