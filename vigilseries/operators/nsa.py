@@ -388,6 +388,7 @@ def match(
     model: NsaModel,
     max_queries: int | None = None,
     max_points: int | None = None,
+    max_detectors: int | None = None,
 ) -> DataFrame:
     """For every query (``qid, vec``): ``near`` (distance to the nearest normal point), ``hit``
     (inside a detector), ``beyond`` (outer bound) and the model's parameters. Queries whose vector
@@ -395,7 +396,8 @@ def match(
     carried = queries.join(model.params, [*INSTANCE]).where(F.size("vec") == F.col("dim"))
     beyond = outside(F.col("vec"), F.col("dim"), F.col("self_radius"))
     bag = F.struct("qid", "dim", "self_radius", "threshold", beyond.alias("beyond"))
-    max_refs = None if max_points is None else max_points
+    known = max_points is not None and max_detectors is not None  # else the rows are counted
+    max_refs = max_points + max_detectors if known else None
     found = nearest(
         carried.select(*INSTANCE, bag.alias("qid"), "vec"),
         _balls_and_points(model),
@@ -425,7 +427,7 @@ def score(
     nearest labelled points can never be anomalous and is not computed."""
     extra = [k for k in keys if k not in INSTANCE]
     queries = vectors.select(*INSTANCE, F.struct("t", *extra).alias("qid"), "vec")
-    found = match(queries, model, max_queries, max_points)
+    found = match(queries, model, max_queries, max_points, cfg.max_detectors)
     anomalous = F.col("hit") | F.col("beyond") | (F.col("near") >= F.col("threshold"))
     return found.select(
         *INSTANCE,
