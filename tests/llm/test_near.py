@@ -100,7 +100,8 @@ def test_given_documents(spark):
 
 def test_kept_rows_are_whole(spark, families):
     families = [(1000 + i, t) for i, t in families]
-    pairs = [*families, *families[:5], *edge.TEXTS]
+    # Two different texts share identifier 11; classes are counted by identifier here.
+    pairs = [*families, *families[:5], *[t for t in edge.TEXTS if t[0] != 11]]
     frame = edge.rows(spark, pairs)
     kept = near.deduplicated(frame)
     assert kept.columns == frame.columns and kept.exceptAll(frame).count() == 0
