@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vigilseries.config import DAY, FeatureShape
+from vigilseries.config import DAY, DetectorConfig, FeatureShape
 from vigilseries.functions.columns import (
     INSTANCE,
     SERIES,
@@ -666,6 +666,14 @@ def nsa_seeds(spark, sf_dir):
     return coordinates(found.select(*INSTANCE, "cand", "centre"), "centre")
 
 
+@register("nsa_seeds_centroids", centres_sql("x_centroids", f"{KEY}, {big('cand')} AS cand").replace(
+    f"SELECT {KEY}, {big('cand')} AS cand, {big('pos')}", f"SELECT {KEY}, cand, {big('pos')}"))
+def nsa_seeds_centroids(spark, sf_dir):
+    selves = self_vectors(training(spark, sf_dir))
+    found = nsa.seeds(selves, "centroids", C.train_steps)
+    return coordinates(found.select(*INSTANCE, "cand", "centre"), "centre")
+
+
 @register("nsa_random_centres", centres_sql("x_random", f"{KEY}, cand"))
 def nsa_random_centres(spark, sf_dir):
     run = training(spark, sf_dir)
@@ -760,9 +768,11 @@ def nsa_vote(spark, sf_dir):
     return nsa.vote(found, known, C.neighbours).select(F.col("qid").alias("rid"), "vote")
 
 
-def labelled_model(rows: DataFrame) -> nsa.NsaModel:
-    """Model of the labelled vectors: class 0 is normal, candidates are random only."""
-    cfg = replace(C, seed_mode="none", max_attempts=0)
+RANDOM_ONLY = replace(C, seed_mode="none", max_attempts=0)  # what x_lab_det holds
+
+
+def labelled_model(rows: DataFrame, cfg: DetectorConfig = C) -> nsa.NsaModel:
+    """Model of the labelled vectors: class 0 is normal."""
     selves = nsa.self_points(rows).select(*INSTANCE, "rid", "vec")
     return nsa.train(selves.withColumnRenamed("rid", "t"), cfg, 64)
 
@@ -773,6 +783,17 @@ def labelled_model(rows: DataFrame) -> nsa.NsaModel:
     JOIN x_vote v ON j.rid = v.qid JOIN x_lab_near n ON n.rid = j.rid""",
 )
 def nsa_predict(spark, sf_dir):
+    rows = labelled(spark, sf_dir)
+    found = nsa.predict(as_queries(rows), labelled_model(rows, RANDOM_ONLY), rows, C.neighbours)
+    return found.select(F.col("qid").alias("rid"), "distance_score", "anomalous")
+
+
+@register(
+    "nsa_predict_whole",
+    f"""SELECT j.rid, {r7('near')} AS distance_score, anomalous OR vote AS anomalous FROM x_whole_judged j
+    JOIN x_vote v ON j.rid = v.qid JOIN x_lab_near n ON n.rid = j.rid""",
+)
+def nsa_predict_whole(spark, sf_dir):
     rows = labelled(spark, sf_dir)
     found = nsa.predict(as_queries(rows), labelled_model(rows), rows, C.neighbours)
     return found.select(F.col("qid").alias("rid"), "distance_score", "anomalous")
@@ -806,6 +827,13 @@ def nsa_train(spark, sf_dir):
 
 @register("nsa_tune_predict", "SELECT rid, anomalous FROM x_judged")
 def nsa_tune_predict(spark, sf_dir):
+    rows = labelled(spark, sf_dir)
+    found = nsa.tuning_prediction(as_queries(rows), labelled_model(rows, RANDOM_ONLY))
+    return found.select(F.col("qid").alias("rid"), "anomalous")
+
+
+@register("nsa_tune_predict_whole", "SELECT rid, anomalous FROM x_whole_judged")
+def nsa_tune_predict_whole(spark, sf_dir):
     rows = labelled(spark, sf_dir)
     found = nsa.tuning_prediction(as_queries(rows), labelled_model(rows))
     return found.select(F.col("qid").alias("rid"), "anomalous")
@@ -829,6 +857,31 @@ o.part(
 )
 
 
+o.part(
+    "x_whole_sample",
+    "SELECT j.rid, j.vec, j.anomalous, CASE WHEN kind IN (0, 1) THEN 0 ELSE 1 END AS label "
+    "FROM x_whole_judged j JOIN x_lab l ON l.rid = j.rid",
+)
+o.part(
+    "x_whole_removed",
+    f"""SELECT DISTINCT det_id FROM x_whole_det d, x_whole_sample s WHERE s.label = 0 AND s.anomalous
+    AND list_distance(d.centre, s.vec) < {o.LAB_RADIUS}""",
+)
+o.part(
+    "x_whole_added",
+    f"""SELECT s.rid, any_value(s.vec) AS centre, min(list_distance(s.vec, l.vec)) - {o.LAB_RADIUS} AS radius
+    FROM x_whole_sample s, x_lab l WHERE s.label = 1 AND NOT s.anomalous AND l.kind <= 4 GROUP BY s.rid""",
+)
+
+
+def tuned_detectors(rows: DataFrame, cfg: DetectorConfig) -> DataFrame:
+    known = rows.where(F.col("kind") <= 4)
+    sample = rows.withColumn("label", F.when(F.col("kind").isin(0, 1), 0).otherwise(1))
+    tuned = nsa.tune(labelled_model(rows, cfg), known, sample.select(*INSTANCE, "rid", "label", "vec"))
+    total = F.aggregate("centre", F.lit(0.0), lambda s, x: s + x)
+    return tuned.select("det_id", total.alias("centre_sum"), "radius")
+
+
 @register(
     "nsa_tune",
     f"""SELECT {big('det_id')} AS det_id, {r7('list_sum(centre)')} AS centre_sum, {r7('radius')} AS radius FROM (
@@ -836,12 +889,17 @@ o.part(
     UNION ALL SELECT NULL, centre, radius FROM x_tune_added WHERE radius > 0)""",
 )
 def nsa_tune(spark, sf_dir):
-    rows = labelled(spark, sf_dir)
-    known = rows.where(F.col("kind") <= 4)
-    sample = rows.withColumn("label", F.when(F.col("kind").isin(0, 1), 0).otherwise(1))
-    tuned = nsa.tune(labelled_model(rows), known, sample.select(*INSTANCE, "rid", "label", "vec"))
-    total = F.aggregate("centre", F.lit(0.0), lambda s, x: s + x)
-    return tuned.select("det_id", total.alias("centre_sum"), "radius")
+    return tuned_detectors(labelled(spark, sf_dir), RANDOM_ONLY)
+
+
+@register(
+    "nsa_tune_whole",
+    f"""SELECT {big('det_id')} AS det_id, {r7('list_sum(centre)')} AS centre_sum, {r7('radius')} AS radius FROM (
+    SELECT det_id, centre, radius FROM x_whole_det WHERE det_id NOT IN (SELECT det_id FROM x_whole_removed)
+    UNION ALL SELECT NULL, centre, radius FROM x_whole_added WHERE radius > 0)""",
+)
+def nsa_tune_whole(spark, sf_dir):
+    return tuned_detectors(labelled(spark, sf_dir), C)
 
 
 # --- two clusters -----------------------------------------------------------------------------

@@ -450,6 +450,90 @@ part(
   FROM x_lab q JOIN x_lab_hit h ON q.rid = h.rid""",
 )
 
+# Detectors of the labelled set with seeds and retries, as trained by default.
+LAB_DEPTH = 6
+SPREAD = "list_transform(list_zip(high, low), lambda p: p[1] - p[2])"
+part(
+    "x_whole_tree0",
+    f"""SELECT {KEY}, rid, vec, 0 AS node,
+  CAST(trunc(log2(greatest(1.0, (count(*) OVER () - 1) / 40)) + 1) AS BIGINT) AS levels
+  FROM x_lab WHERE label = 0""",
+)
+for _level in range(LAB_DEPTH):
+    part(
+        f"x_whole_node{_level}",
+        f"""SELECT node, count(*) AS size, [{', '.join(f'min(vec[{j}])' for j in range(1, 65))}] AS low,
+  [{', '.join(f'max(vec[{j}])' for j in range(1, 65))}] AS high FROM x_whole_tree{_level} GROUP BY ALL""",
+    )
+    if _level < LAB_DEPTH - 1:
+        part(
+            f"x_whole_tree{_level + 1}",
+            f"""SELECT {KEY}, rid, vec, CASE WHEN nth <= size // 2 THEN 2 * node + 1 ELSE 2 * node + 2 END AS node,
+  levels FROM (SELECT p.*, size, row_number() OVER (PARTITION BY p.node ORDER BY vec[axis], rid) AS nth
+  FROM x_whole_tree{_level} p JOIN (SELECT node, size, list_position({SPREAD}, list_max({SPREAD})) AS axis
+    FROM x_whole_node{_level}) n ON p.node = n.node
+  WHERE p.levels > {_level + 1} AND size > 1)""",
+        )
+part(
+    "x_whole_cands",
+    "SELECT min(node) AS cand, low AS centre FROM ("
+    + " UNION ALL ".join(f"SELECT node, low FROM x_whole_node{i}" for i in range(LAB_DEPTH))
+    + f""") GROUP BY ALL
+  UNION ALL SELECT i + 1000000000, list_transform(unit, lambda u: (1 + 2 * {LAB_RADIUS}) * u - {LAB_RADIUS})
+  FROM x_lab_units""",
+)
+part(
+    "x_whole_tested",
+    f"""SELECT c.cand, c.centre, min(list_distance(c.centre, s.vec)) - {LAB_RADIUS} AS radius
+  FROM x_whole_cands c JOIN x_lab s ON s.label = 0 GROUP BY ALL""",
+)
+part(
+    "x_whole_walks",
+    f"""SELECT cand, attempt, list(x ORDER BY j) AS shift FROM (
+  SELECT cand, attempt, j, sum({STEP}) OVER (PARTITION BY cand, j ORDER BY attempt) AS x
+  FROM (SELECT cand FROM x_whole_tested WHERE radius <= 0) c,
+    range(1, {C.max_attempts + 1}) a(attempt), range(64) b(j)) GROUP BY ALL""",
+)
+part(
+    "x_whole_moved",
+    """SELECT cand, attempt, list_transform(list_zip(centre, shift), lambda p: p[1] + p[2]) AS centre
+  FROM x_whole_tested JOIN x_whole_walks USING (cand)""",
+)
+part(
+    "x_whole_retested",
+    f"""SELECT m.cand, m.attempt, m.centre, min(list_distance(m.centre, s.vec)) - {LAB_RADIUS} AS radius
+  FROM x_whole_moved m JOIN x_lab s ON s.label = 0 GROUP BY ALL""",
+)
+part(
+    "x_whole_det",
+    f"""SELECT nth - 1 AS det_id, centre, radius FROM (
+  SELECT *, row_number() OVER (ORDER BY cand) AS nth FROM (
+    SELECT cand, centre, radius FROM x_whole_tested WHERE radius > 0
+    UNION ALL SELECT cand, arg_min(centre, attempt), arg_min(radius, attempt) FROM x_whole_retested
+      WHERE radius > 0 GROUP BY cand)) WHERE nth <= {C.max_detectors}""",
+)
+part(
+    "x_whole_hit",
+    """SELECT q.rid, bool_or(list_distance(q.vec, d.centre) < d.radius) AS hit FROM x_lab q, x_whole_det d
+  GROUP BY ALL""",
+)
+part(
+    "x_whole_judged",
+    f"""SELECT q.rid, q.label, q.vec, h.hit OR ({LAB_BEYOND}) AS anomalous
+  FROM x_lab q JOIN x_whole_hit h ON q.rid = h.rid""",
+)
+# Centroids of the nodes of the training tree.
+part(
+    "x_centroids",
+    f"SELECT {KEY}, min(node) AS cand, mean AS centre FROM ("
+    + " UNION ALL ".join(
+        f"SELECT {KEY}, node, [{', '.join(f'avg(vec[{j}])' for j in range(1, DIM + 1))}] AS mean "
+        f"FROM x_tree{i} GROUP BY {KEY}, node"
+        for i in range(TREE_DEPTH)
+    )
+    + ") GROUP BY ALL",
+)
+
 # --- two clusters -----------------------------------------------------------------------------
 
 NORM = "l0 * l0 + l1 * l1 + l2 * l2 + l3 * l3"
