@@ -67,6 +67,30 @@ def test_contexts_of_mixed_company_are_not_trusted(spark):
     assert not any(r.added for r in spans(spark, list(enumerate(texts))).values())
 
 
+def trusted(spark, edges):
+    frame = spark.createDataFrame(edges, "kind string, pattern string, instance string")
+    return {(r.kind, r.pattern) for r in pii.scored(frame).collect()}
+
+
+def test_chain_of_patterns_is_followed_to_its_end(spark):
+    edges = [("phone", f"p{i}", f"s{i}-{k}") for i in range(8) for k in range(8 if i == 0 else 7)]
+    edges += [(None, f"p{i}", f"x{j}") for i in range(8) for j in (i - 1, i) if j >= 0]
+    assert trusted(spark, edges) == {("phone", f"p{i}") for i in range(8)}
+
+
+def test_believed_instances_support_other_patterns(spark):
+    edges = [("email", "p", f"s{k}") for k in range(16)] + [(None, "p", f"x{k}") for k in range(4)]
+    edges += [(None, "q", f"x{k}") for k in range(5)]
+    edges += [(None, "r", f"x{k}") for k in (0, 1, 2, 5)] + [(None, "t", f"x{k}") for k in (0, 1)]
+    assert trusted(spark, edges) == {("email", "p"), ("email", "q")}
+
+
+def test_an_instance_counts_once_in_a_pattern(spark):
+    edges = [("email", "p", f"s{k}") for k in range(16)] + [(None, "p", f"x{k}") for k in range(4)]
+    edges += [("email", "q", "x0"), (None, "q", "x0"), (None, "q", "y"), (None, "q", "z")]
+    assert trusted(spark, edges) == {("email", "p")}
+
+
 def test_empty(spark):
     assert pii.spans(edge.empty(spark)).count() == 0
 

@@ -1,10 +1,10 @@
 """Personal data: fixed patterns, and identifiers that their contexts give away.
 
 Matches of the fixed patterns are seeds. The words around them induce lexical patterns, and patterns
-and instances (seeds and tokens of an identifier's shape) form a graph. Scores run over it a few
-times: a pattern is as reliable as the share of its instances that are believed, an unseen instance
-as its best pattern. Tokens of believed instances in reliable patterns are added. Built-in functions
-only.
+and instances (seeds and tokens of an identifier's shape) form a graph. Scores run over it until
+nothing changes: a pattern is as reliable as the share of its instances that are believed, and all
+instances of a reliable pattern are. Tokens of believed instances in reliable patterns are added.
+Built-in functions only.
 """
 
 from __future__ import annotations
@@ -28,9 +28,8 @@ KINDS = tuple(BASE)
 FOUND = "found_"  # prefix of the kinds of added spans
 CANDIDATE = r"(?<![A-Za-z0-9@._+-])(?=[A-Za-z._+-]*+[0-9@])[A-Za-z0-9@._+-]{5,}+"
 CONTEXT = 64  # characters on either side in which context words are looked for
-ROUNDS = 3
-SUPPORT = 3  # different seeds of a pattern that counts
-TRUST = 0.8  # score of a pattern and of an instance that are believed
+SUPPORT = 3  # different believed instances of a pattern that counts
+TRUST = 0.8  # score of a pattern that is reliable
 
 _SPAN = "struct<start:int,end:int,match:string,left:string,right:string>"
 
@@ -128,43 +127,51 @@ def _patterns(left: Column, right: Column) -> Column:
     return let(plain(left), of)
 
 
-def scored(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def scored(edges: DataFrame) -> DataFrame:
     """Reliable patterns ``kind, pattern, score`` from distinct edges ``kind, pattern, instance``,
-    where a null kind is an instance that no base pattern matches."""
-    edges = edges.select("kind", "pattern", "instance").distinct()
-    sizes = edges.groupBy("pattern").agg(F.count_distinct("instance").alias("instances"))
-    seeds = (
-        edges.where("kind is not null")
-        .groupBy("kind", "pattern")
-        .agg(F.count(F.lit(1)).alias("seeds"))
-        .where(F.col("seeds") >= SUPPORT)
-        .join(sizes, "pattern")
+    where a null kind is an instance that no base pattern matches.
+
+    A believed instance counts like a seed, which is what its score tends to when rounds go on. The
+    sets only grow, so the rounds end; the score is that of the round in which a pattern became
+    reliable.
+    """
+    spots = edges.groupBy("pattern", "instance").agg(
+        F.collect_set("kind").alias("known"), F.max(F.col("kind").isNull()).alias("free")
     )
-    seeds = materialise(seeds, "pii-seed-patterns")
-    # Only unseen instances of a pattern with seeds can ever be believed.
-    unseen = materialise(
-        edges.where("kind is null").drop("kind").join(seeds.select("kind", "pattern"), "pattern"),
-        "pii-unseen",
+    spots = materialise(spots, "pii-spots")
+    sizes = spots.groupBy("pattern").agg(F.count(F.lit(1)).alias("instances"))
+    # A pattern of fewer instances never counts.
+    sizes = materialise(sizes.where(F.col("instances") >= SUPPORT), "pii-sizes")
+    spots = materialise(spots.join(sizes.select("pattern"), "pattern"), "pii-graph")
+    seeds = spots.select("pattern", F.explode("known").alias("kind")).groupBy("kind", "pattern").agg(
+        F.count(F.lit(1)).alias("n")
     )
-    score = seeds.select("kind", "pattern", (F.col("seeds") / F.col("instances")).alias("score"))
-    for _ in range(rounds):
-        believed = (
-            unseen.join(score, ["kind", "pattern"])
-            .groupBy("kind", "instance")
-            .agg(F.max("score").alias("belief"))
-            .where(F.col("belief") >= TRUST)
-        )
+    seeds = materialise(seeds, "pii-seed-patterns")
+    unseen = spots.where("free").drop("free")
+
+    def reliable(counts: DataFrame) -> DataFrame:
+        share = F.col("n") / F.col("instances")
+        rated = counts.where(F.col("n") >= SUPPORT).join(sizes, "pattern")
+        return rated.select("kind", "pattern", share.alias("score")).where(F.col("score") >= TRUST)
+
+    found = materialise(reliable(seeds), "pii-scores")
+    before, now = 0, found.count()
+    while now > before:
+        believed = unseen.join(found.select("kind", "pattern"), "pattern").select("kind", "instance").distinct()
         gained = (
-            unseen.join(believed, ["kind", "instance"])
+            unseen.join(believed, "instance")
+            .where(~F.array_contains("known", F.col("kind")))
             .groupBy("kind", "pattern")
-            .agg(F.sum("belief").alias("gained"))
+            .agg(F.count(F.lit(1)).alias("n"))
         )
-        rated = (F.col("seeds") + F.coalesce("gained", F.lit(0.0))) / F.col("instances")
-        score = materialise(
-            seeds.join(gained, ["kind", "pattern"], "left").select("kind", "pattern", rated.alias("score")),
+        counts = seeds.unionByName(gained).groupBy("kind", "pattern").agg(F.sum("n").alias("n"))
+        # The first score of a pattern is the least.
+        found = materialise(
+            reliable(counts).unionByName(found).groupBy("kind", "pattern").agg(F.min("score").alias("score")),
             "pii-scores",
         )
-    return score.where(F.col("score") >= TRUST)
+        before, now = now, found.count()
+    return found
 
 
 def spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
