@@ -61,5 +61,23 @@ def test_masks_are_the_assistants_words(spark):
             assert r.text[:a].endswith("<|im_start|>assistant\n") and r.text[b:].startswith("<|im_end|>")
 
 
+def test_blocks_of_many_rows_are_parts(spark, monkeypatch):
+    monkeypatch.setattr(chat, "CHUNK_ROWS", 50)
+    turns = [(None, None, "ann", f"lost {i:03d}") for i in range(300)] + [(None, None, "bob", "same")] * 200
+    turns += [(5, 3, "cid", f"again {i:03d}") for i in range(120)] + [(5, 400, "cid", "later"), (5, 0, "dan", "hi")]
+    turns += [(6, i, "ann", f"turn {i}") for i in range(30)]
+    got = chat.rotated(frame(spark, turns), part_rows=40)
+    rows = got.orderBy("conv_id", "perspective", *chat.in_order(got.block)).collect()
+    assert max(r.n_turns for r in rows) == 40
+    assert len({(r.conv_id, r.perspective, r.block) for r in rows}) == len(rows)
+    whole = defaultdict(str)
+    for r in rows:
+        whole[r.conv_id, r.perspective] += r.text
+    expected = defaultdict(str)
+    for conv, seat, _, text, *_ in sorted(brute(turns, 256), key=lambda b: b[2]):
+        expected[conv, seat] += text
+    assert whole == expected
+
+
 def test_empty(spark):
     assert chat.rotated(frame(spark, EDGES).limit(0)).count() == 0

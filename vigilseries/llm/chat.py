@@ -3,17 +3,24 @@
 Every participant of a conversation gets the dialogue once from their own seat: their turns are those
 of the assistant, everybody else is a named user, and the mask marks what the assistant says. Turns
 are rendered in blocks of consecutive turn numbers, so a conversation of any length is many rows; the
-blocks of a perspective in order are the whole dialogue.
+blocks of a perspective in order are the whole dialogue. A block with very many rows (turns without
+number or conversation, repeated numbers) is several parts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vigilseries.functions.columns import SALTS, every_salt
+from vigilseries.functions.storage import materialise
 from vigilseries.llm.text import column
 
 BLOCK_TURNS = 256
+PART_ROWS = 1_024  # rows of a part of a block
+PART = 2**44  # later parts of a block have multiples of this added to its number
+CHUNK_ROWS = 20_000  # rows that are numbered in one task
+PREFIX = 1_000  # characters by which the texts of a block in parts are ordered
 CONTEXT = ("system",)  # speakers who are never a participant
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 
@@ -27,6 +34,59 @@ def _head(speaker: Column, perspective: Column, context: tuple[str, ...]) -> Col
     )
 
 
+def in_order(block: Column) -> tuple[Column, Column]:
+    """Sort by these to have the blocks of a perspective, and their parts, in order."""
+    return F.pmod(block + PART // 2, F.lit(PART)), block
+
+
+def _parted(plain: DataFrame, rows: int) -> DataFrame:
+    """``plain`` with ``part``: rows of a block by their order, at most ``rows`` in each. Only blocks
+    of more rows are ordered, by range, so that one block is many tasks; equal rows spread."""
+    key = ["conv_id", "block"]
+    counts = plain.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > rows)
+    large = materialise(counts, "chat-large-blocks")
+    total = large.agg(F.sum("n")).first()[0]
+    if total is None:
+        return plain.withColumn("part", F.lit(0).cast("long"))
+    marks = large.select(F.col("conv_id").alias("l_conv"), F.col("block").alias("l_block"), every_salt().alias("l_salt"))
+    marked = plain.withColumn("row", F.monotonically_increasing_id()).join(
+        marks,
+        F.col("conv_id").eqNullSafe(F.col("l_conv"))
+        & (F.col("block") == F.col("l_block"))
+        & (F.pmod("row", F.lit(SALTS)).cast("int") == F.col("l_salt")),
+        "left",
+    )
+    marked = materialise(marked.drop("l_conv", "l_salt"), "chat-turns")
+    order = ["turn", "who", F.left("text", F.lit(PREFIX)), F.xxhash64("text"), "row"]
+    ranged = (
+        marked.where("l_block is not null")
+        .repartitionByRange(-(-total // CHUNK_ROWS), *key, *order)
+        .withColumn("chunk", F.spark_partition_id())
+    )
+    ranged = materialise(ranged, "chat-ranges")  # a chunk stays what it is
+    before = Window.partitionBy(*key).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    bases = ranged.groupBy(*key, "chunk").agg(F.count(F.lit(1)).alias("n")).select(
+        F.col("conv_id").alias("b_conv"), F.col("block").alias("b_block"), F.col("chunk").alias("b_chunk"),
+        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"),
+    )
+    within = Window.partitionBy(*key, "chunk").orderBy(*order)
+    numbered = ranged.withColumn("nth", F.row_number().over(within)).join(
+        bases,
+        F.col("conv_id").eqNullSafe(F.col("b_conv"))
+        & (F.col("block") == F.col("b_block"))
+        & (F.col("chunk") == F.col("b_chunk")),
+    )
+    part = F.floor((F.col("base") + F.col("nth") - 1) / rows).cast("long")
+    few = marked.where("l_block is null").select(*plain.columns, F.lit(0).cast("long").alias("part"))
+    return few.unionByName(numbered.select(*plain.columns, part.alias("part")))
+
+
+def _number(block: Column, part: Column) -> Column:
+    fits = (F.abs(block) < PART // 2) & (part < 2**63 // PART - 1)
+    wrong = F.raise_error(F.lit("a block of this turn number has more parts than block numbers can tell"))
+    return F.when(part == 0, block).when(fits, block + part * PART).otherwise(wrong.cast("long"))
+
+
 def rotated(
     turns: DataFrame,
     conversation: str = "conv_id",
@@ -35,6 +95,7 @@ def rotated(
     text: str = "text",
     context: tuple[str, ...] = CONTEXT,
     block_turns: int = BLOCK_TURNS,
+    part_rows: int = PART_ROWS,
 ) -> DataFrame:
     """``conv_id, perspective, block, text, masks, n_turns, n_masked`` per participant and block.
 
@@ -43,6 +104,10 @@ def rotated(
     turns. A null text is empty, a null speaker is called ``unknown``, turns without a number come
     first in a block of their own (-1), turns without a conversation form one. A conversation with
     nobody but context speakers has no perspective. An empty table gives an empty result.
+
+    A block of more than ``part_rows`` rows is parts of so many; the first has the number of the
+    block, later ones have multiples of ``PART`` added (see :func:`in_order`). Texts of one turn
+    number and speaker are then ordered by their first characters and a hash.
     """
     who = F.coalesce(column(speaker), F.lit("unknown"))
     block = F.coalesce(F.floor(column(turn) / block_turns), F.lit(-1)).cast("long")
@@ -50,19 +115,22 @@ def rotated(
         column(conversation).alias("conv_id"), column(turn).cast("long").alias("turn"),
         who.alias("who"), F.coalesce(column(text), F.lit("")).alias("text"), block.alias("block"),
     )
+    plain = _parted(plain, part_rows)
     seats = plain.select("conv_id", "who").where(~F.col("who").isin(*context)).distinct()
-    spots = plain.select("conv_id", "block").distinct()
+    spots = plain.select("conv_id", "block", "part").distinct()
     # Small rows meet on the conversation; the texts move once, to their block.
     views = spots.join(
         seats.select(F.col("conv_id").alias("of"), F.col("who").alias("perspective")),
         F.col("conv_id").eqNullSafe(F.col("of")),
-    ).select(F.col("conv_id").alias("v_conv"), F.col("block").alias("v_block"), "perspective")
-    grouped = plain.groupBy("conv_id", "block").agg(
+    ).select(F.col("conv_id").alias("v_conv"), F.col("block").alias("v_block"), F.col("part").alias("v_part"), "perspective")
+    grouped = plain.groupBy("conv_id", "block", "part").agg(
         F.sort_array(F.collect_list(F.struct("turn", "who", "text"))).alias("turns")
     )
     joined = grouped.join(
         views,
-        F.col("conv_id").eqNullSafe(F.col("v_conv")) & (F.col("block") == F.col("v_block")),
+        F.col("conv_id").eqNullSafe(F.col("v_conv"))
+        & (F.col("block") == F.col("v_block"))
+        & (F.col("part") == F.col("v_part")),
     )
     parts = F.transform(
         "turns",
@@ -72,7 +140,9 @@ def rotated(
             (t["who"] == F.col("perspective")).alias("own"),
         ),
     )
-    rendered = joined.select("conv_id", "perspective", "block", parts.alias("parts"))
+    rendered = joined.select(
+        "conv_id", "perspective", _number(F.col("block"), F.col("part")).alias("block"), parts.alias("parts")
+    )
 
     def step(state: Column, p: Column) -> Column:
         start = state["at"] + F.length(p["head"])
