@@ -1130,7 +1130,7 @@ def q_nsa_mean_by_node(spark, sf_dir):
     GROUP BY x_stored.time, measurement, application_name, node, method, metrics, level""",
 )
 def detections_latest(spark, sf_dir):
-    return store.latest(tables.stored_detections(spark, sf_dir))
+    return store.latest(tables.stored_detections(spark, sf_dir)).drop("written")
 
 
 @register(

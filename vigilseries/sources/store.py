@@ -55,10 +55,10 @@ def read_detections(spark: SparkSession, path: str) -> DataFrame:
 
 def latest(detections: DataFrame) -> DataFrame:
     """Rows with the same measurement, tags and time overwrite each other: the last written stays,
-    of several written at once the one with the largest values."""
-    newest = F.max_by(F.struct(*FIELDS), F.struct("written", *FIELDS)).alias("newest")
+    of several written at once the one with the largest values. Once more changes nothing."""
+    newest = F.max(F.struct("written", *FIELDS)).alias("newest")
     return detections.groupBy("time", "measurement", *TAGS).agg(newest).select(
-        "time", "measurement", *TAGS, "newest.*"
+        "time", "measurement", *TAGS, *[F.col(f"newest.{f}").alias(f) for f in (*FIELDS, "written")]
     )
 
 
