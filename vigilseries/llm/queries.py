@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilseries.llm import chat, exact, html, lm, mixing, near, packing, pii, quality, urls
+from vigilseries.llm import chat, exact, html, lm, mixing, near, packing, phrases, pii, quality, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -229,3 +229,44 @@ def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_lm_scoring")
 def lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scored(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+PHRASES_SQL = rf"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents
+), p AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?
+-]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS words FROM p),
+g AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(words) - k + 2),
+                                        lambda i: array_to_string(words[i:i + k - 1], ' '))) AS phrase
+  FROM w, range(1, 5) AS r(k) WHERE len(words) >= k
+), f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL),
+c AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS words FROM f WHERE k > 1 AND a >= 30),
+s AS (
+  SELECT DISTINCT c.lang, phrase, a AS beyond, array_to_string(words[i:i + m - 1], ' ') AS part
+  FROM c, range(2, 4) AS r(m), range(1, 4) AS q(i) WHERE m < k AND i + m - 1 <= k
+), kept AS (
+  SELECT * FROM c WHERE NOT EXISTS (
+    SELECT 1 FROM s WHERE s.lang = c.lang AND s.part = c.phrase AND 100 * s.beyond >= 80 * c.a)
+), cuts AS (
+  SELECT kept.lang, kept.phrase, kept.a, t.cut, x.a AS l, y.a AS r,
+         (2000000::HUGEINT * kept.a // (x.a + y.a))::BIGINT AS score
+  FROM kept JOIN range(1, 4) AS t(cut) ON cut < kept.k
+  JOIN f x ON x.lang = kept.lang AND x.phrase = array_to_string(words[1:cut], ' ')
+  JOIN f y ON y.lang = kept.lang AND y.phrase = array_to_string(words[cut + 1:], ' ')
+), low AS (
+  SELECT * FROM cuts
+  QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank,
+       phrase, a, l, r, n, score
+FROM low JOIN n USING (lang) QUALIFY rank <= 2000
+"""
+
+
+@register("op11_phrase_collocations", PHRASES_SQL)
+def phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mined(read(spark, sf_dir, "documents"))
