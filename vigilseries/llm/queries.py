@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilseries.llm import chat, exact, html, lm, mixing, near, packing, phrases, pii, quality, urls
+from vigilseries.llm import chat, exact, html, lm, mixing, near, packing, phrases, pii, quality, repeats, urls
+from vigilseries.llm.text import WORD, let, word_array, whole
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -237,7 +238,8 @@ WITH d AS (
          translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
   FROM documents
 ), p AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?
--]')) AS piece FROM d),
+-
+]')) AS piece FROM d),
 w AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS words FROM p),
 g AS (
   SELECT lang, k, unnest(list_transform(range(1, len(words) - k + 2),
@@ -270,3 +272,86 @@ FROM low JOIN n USING (lang) QUALIFY rank <= 2000
 @register("op11_phrase_collocations", PHRASES_SQL)
 def phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.mined(read(spark, sf_dir, "documents"))
+
+
+# Checksum of the decimal identifier, as zlib computes it.
+CRC_SQL = """
+xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda s: ascii(s)::BIGINT)),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)
+"""
+
+RUNS_SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(coalesce(text, ''), '{WORDS}') AS ws, {CRC_SQL} AS h
+  FROM documents
+), s AS (
+  SELECT k, doc_id, ws, len(ws)::BIGINT AS n, coalesce(h % 10 = 0, false) AND len(ws) > 0 AS planted,
+         (h // 10) % greatest(len(ws), 1) AS a, 1 + (len(ws) - (h // 10) % greatest(len(ws), 1)) // (3 + (h // 10) % 8) AS p
+  FROM d
+), w AS (
+  SELECT k, n, unnest(range(n)) AS i,
+         unnest(CASE WHEN planted THEN list_transform(range(n), lambda i: ws[CASE WHEN i >= a THEN a + (i - a) % p ELSE i END + 1])
+                ELSE ws END) AS word
+  FROM s
+), grams AS (  -- a run of 24 words or more agrees with itself, one period on, for 16
+  SELECT k, n, i, word, hash(list(word) OVER (PARTITION BY k ORDER BY i ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING)) AS g FROM w
+), near AS (
+  SELECT DISTINCT x.k, y.i - x.i AS q FROM grams x JOIN grams y ON x.k = y.k AND x.g = y.g AND y.i > x.i AND 3 * (y.i - x.i) <= x.n
+  WHERE x.i + 16 <= x.n AND y.i + 16 <= y.n
+), e AS (
+  SELECT x.k, q, x.i, x.i - row_number() OVER (PARTITION BY x.k, q ORDER BY x.i) AS island
+  FROM near JOIN w x ON x.k = near.k JOIN w y ON y.k = x.k AND y.i = x.i + q AND x.word = y.word
+), f AS (
+  SELECT k, min(i) AS start, count(*) + q AS length, q FROM e GROUP BY k, q, island
+  HAVING count(*) + q >= greatest(24, 3 * q)
+), r AS (SELECT k, start, length, min(q) AS period FROM f GROUP BY k, start, length),
+marks AS (SELECT DISTINCT k, unnest(range(start + period, start + length)) AS i FROM r),
+kept AS (
+  SELECT k, string_agg(word, ' ' ORDER BY i) AS text FROM w ANTI JOIN marks USING (k, i) GROUP BY k
+), per AS (
+  SELECT k, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed
+  FROM r GROUP BY k
+), best AS (
+  SELECT * FROM r x WHERE NOT EXISTS (
+    SELECT 1 FROM r y WHERE y.k = x.k AND (y.length * x.period > x.length * y.period OR (
+      y.length * x.period = x.length * y.period AND (y.start, y.period) < (x.start, x.period))))
+)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli,
+       sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM s LEFT JOIN per USING (k) LEFT JOIN best USING (k) LEFT JOIN kept USING (k)
+"""
+
+
+def with_planted_runs(doc_id: Column, text: Column) -> Column:
+    """The text; where the identifier's checksum says so, its end repeats the words of a period."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = (h - h % 10) / 10
+
+    def repeated(words: Column) -> Column:
+        n = F.size(words)
+        a = F.pmod(g, n.cast("long"))
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        place = lambda i: F.when(i >= a, a + (i - a) % p).otherwise(i)
+        told = F.transform(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1), lambda i: F.get(words, place(i).cast("int")))
+        return F.array_join(told, " ")
+
+    planted = (h % 10 == 0) & F.rlike(whole(text), F.lit(WORD))
+    return F.when(planted, let(word_array(text), repeated)).otherwise(text)
+
+
+@register("op12_periodic_runs", RUNS_SQL)
+def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select(
+        "doc_id", with_planted_runs(F.col("doc_id"), F.col("text")).alias("text")
+    )
+    found = repeats.periodic(docs).withColumn("best", repeats.greatest(F.col("runs")))
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), "")
+    return found.select(
+        F.col("id").alias("doc_id"),
+        F.size("runs").cast("long").alias("n_runs"),
+        *[F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")],
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
