@@ -21,7 +21,7 @@ def test_sql(spark, name):
 def test_all_are_registered():
     known = entry.queries()
     assert "pipeline" in known
-    assert [next(q for q in known if q.startswith(f"op{n}_")) for n in range(1, 11)]
+    assert [next(q for q in known if q.startswith(f"op{n}_")) for n in range(1, 14)]
 
 
 def run_by_hand(spark, rows):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilseries.llm import chat, exact, html, lm, mixing, near, packing, phrases, pii, quality, repeats, urls
+from vigilseries.llm import ann, chat, exact, html, lm, mixing, near, packing, phrases, pii, quality, repeats, urls
 from vigilseries.llm.text import WORD, let, word_array, whole
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -355,3 +355,9 @@ def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(listed, 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+@register("op13_nearest_vectors")
+def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0))
