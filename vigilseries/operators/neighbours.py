@@ -1,10 +1,15 @@
 """Exact neighbour searches between two sets of vectors of the same instance.
 
-Both sets are cut in blocks; every block of queries meets every block of references of its
-instance in one task, which computes the distances of the two blocks and reports one (or k) rows
-per query. No pair of points ever becomes a row, a group holds two blocks at most, and an instance
-with very many vectors is spread over many tasks. Results of several blocks are merged by an
-aggregate (block nested loop join).
+Both sides meet in blocks: a task computes the distances of a block of queries and a block of
+references and reports one (or k) rows per query. No pair of points ever becomes a row, a group holds
+two blocks at most, and results of several blocks are merged by an aggregate.
+
+An instance with more references than a block gets a metric index. A bounded number of references are
+its pivots; every reference is in the cell of its nearest pivot, and a cell knows how near and how far
+its members are from the pivots. A query measures the pivots only. Its k-th nearest pivot bounds how far
+its neighbours can be; triangle inequalities bound how near the members of a cell can be; it is sent to
+the cells that may hold a neighbour and to no others. Cells that nobody asks for do not move. The search
+stays exact; where distances tell nothing apart it degenerates to all blocks meeting all others.
 
 Queries: keys, ``qid`` (any type), ``vec``. References: keys, ``rid`` (long), ``vec``, ``aux``
 (double; a radius, a label or missing).
@@ -13,6 +18,7 @@ Queries: keys, ``qid`` (any type), ``vec``. References: keys, ``rid`` (long), ``
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +29,12 @@ from pyspark.sql import types as T
 
 from vigilseries.functions.arrow import list_matrix
 from vigilseries.functions.columns import INSTANCE
+from vigilseries.functions.storage import materialise
 
 BLOCK = 2048
+MOST_PIVOTS = 256  # of an instance; fewer where it has few blocks
+BOUNDED = 32  # pivots whose distances to the members of a cell are known
+PART = 16_384  # rows that measure the pivots in a task
 
 
 def squared_distances(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -51,30 +61,16 @@ def _meet(
     columns: list[tuple[str, T.DataType, pa.DataType]],
     kernel: Callable[[pa.Table, np.ndarray, pa.Table, np.ndarray], dict],
     one_block: bool,
+    search: Search,
 ) -> DataFrame:
     """Run ``kernel(query rows, query matrix, reference rows, reference matrix)`` per meeting."""
     keys = list(keys)
     qid = queries.schema["qid"]
-    q = queries.select(
-        *keys,
-        F.lit(True).alias("is_query"),
-        "qid",
-        F.lit(None).cast("long").alias("rid"),
-        "vec",
-        F.lit(None).cast("double").alias("aux"),
-    )
-    r = refs.select(
-        *keys,
-        F.lit(False).alias("is_query"),
-        F.lit(None).cast(qid.dataType).alias("qid"),
-        F.col("rid").cast("long").alias("rid"),
-        "vec",
-        F.col("aux").cast("double").alias("aux"),
-    )
     if one_block:
-        both = q.unionByName(r).withColumn("qb", F.lit(0)).withColumn("rb", F.lit(0))
+        zero = [F.lit(0).cast("long").alias(c) for c in ("cell", "qb", "rb")]
+        both = _sides(queries, refs, keys, zero, zero)
     else:
-        both = _in_blocks(q, r, keys)
+        both = blocks(queries, refs, keys, search)
     out = T.StructType(
         [
             *[queries.schema[k] for k in keys],
@@ -98,35 +94,215 @@ def _meet(
             rows = rows.append_column(name, result[name])
         return rows
 
-    return both.groupBy(*keys, "qb", "rb").applyInArrow(run, out)
+    return both.groupBy(*keys, "cell", "qb", "rb").applyInArrow(run, out)
+
+
+@dataclass(frozen=True)
+class Search:
+    """What a search needs to know of a cell to pass it by."""
+
+    k: int
+    balls: bool = False  # references with ``aux`` matter only where a query is closer than it
+    skip_same: bool = False
+
 
+def _sides(q: DataFrame, r: DataFrame, keys: list[str], of_q: list, of_r: list) -> DataFrame:
+    """Queries and references in one frame, with their cell and block numbers."""
+    kind = q.schema["qid"].dataType
+    left = q.select(
+        *keys, F.lit(True).alias("is_query"), "qid", F.lit(None).cast("long").alias("rid"), "vec",
+        F.lit(None).cast("double").alias("aux"), *of_q,
+    )
+    right = r.select(
+        *keys, F.lit(False).alias("is_query"), F.lit(None).cast(kind).alias("qid"),
+        F.col("rid").cast("long").alias("rid"), "vec", F.col("aux").cast("double").alias("aux"), *of_r,
+    )
+    return left.unionByName(right)
 
-def _in_blocks(q: DataFrame, r: DataFrame, keys: list[str]) -> DataFrame:
-    """Give every row its block and send it to all blocks of the other side. Only instances with
-    more than one block are listed, so the table that everything meets stays small."""
-    sizes = (
-        q.select(*keys, "is_query")
-        .unionByName(r.select(*keys, "is_query"))
+
+def blocks(queries: DataFrame, refs: DataFrame, keys: Sequence[str], search: Search) -> DataFrame:
+    """All rows with ``cell``, ``qb`` and ``rb``: those with equal numbers meet."""
+    keys = list(keys)
+    q = queries.select(*keys, "qid", "vec")
+    r = refs.select(*keys, F.col("rid").cast("long").alias("rid"), "vec", F.col("aux").cast("double").alias("aux"))
+    per = lambda n, size: F.greatest(F.ceil(F.col(n) / size), F.lit(1)).alias
+    counts = (
+        q.select(*keys, F.lit(1).alias("q"))
+        .unionByName(r.select(*keys, F.lit(0).alias("q")))
         .groupBy(*keys)
-        .agg(
-            F.greatest(F.ceil(F.count_if("is_query") / BLOCK), F.lit(1)).alias("nq"),
-            F.greatest(F.ceil(F.count_if(~F.col("is_query")) / BLOCK), F.lit(1)).alias("nr"),
-        )
-        .where((F.col("nq") > 1) | (F.col("nr") > 1))
+        .agg(F.count_if(F.col("q") == 1).alias("n_q"), F.count_if(F.col("q") == 0).alias("n_r"))
     )
-    nq, nr = F.coalesce("nq", F.lit(1)), F.coalesce("nr", F.lit(1))
+    # Only instances with more than one block are listed, so what all rows meet stays small.
+    sizes = materialise(
+        counts.select(
+            *keys, per("n_q", BLOCK)("nq"), per("n_r", BLOCK)("nr"), per("n_q", PART)("q_parts"),
+            per("n_r", PART)("r_parts"),
+        ).where((F.col("nq") > 1) | (F.col("nr") > 1)),
+        "neighbour-sizes",
+    )
     zero = F.lit(0).cast("long")
-    spread_q = q.join(sizes, keys, "left").select(
-        *q.columns,
-        F.pmod(F.xxhash64("qid"), nq).alias("qb"),
-        F.explode(F.sequence(zero, nr - 1)).alias("rb"),
+    large = sizes.where(F.col("nr") > 1)
+    wide = sizes.where(F.col("nr") == 1).select(*keys, "nq")
+    small_q = q.join(large.select(*keys), keys, "left_anti").join(wide, keys, "left")
+    small_r = r.join(large.select(*keys), keys, "left_anti").join(wide, keys, "left")
+    nq = F.coalesce("nq", F.lit(1).cast("long"))
+    small = _sides(
+        small_q, small_r, keys,
+        [zero.alias("cell"), F.pmod(F.xxhash64("qid"), nq).alias("qb"), zero.alias("rb")],
+        [zero.alias("cell"), F.explode(F.sequence(zero, nq - 1)).alias("qb"), zero.alias("rb")],
+    )
+    if large.isEmpty():
+        return small
+    return small.unionByName(_in_cells(q, r, keys, large, search))
+
+
+def _parted(rows: DataFrame, large: DataFrame, keys: list[str], name: str, parts: str) -> DataFrame:
+    """Rows of large instances, an instance in parts."""
+    some = rows.join(large.select(*keys, F.col(parts).alias("parts")), keys)
+    return some.withColumn("part", F.pmod(F.xxhash64(name), "parts")).drop("parts")
+
+
+def _for_parts(small: DataFrame, large: DataFrame, keys: list[str], parts: str) -> DataFrame:
+    """A row per instance for each of its parts."""
+    some = small.join(large.select(*keys, F.col(parts).alias("parts")), keys)
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    return some.withColumn("part", every).drop("parts")
+
+
+def _in_cells(q: DataFrame, r: DataFrame, keys: list[str], large: DataFrame, search: Search) -> DataFrame:
+    """Rows of instances with an index: references in the blocks of their cell, queries in all cells
+    that may hold a neighbour."""
+    order = Window.partitionBy(*keys).orderBy(F.xxhash64("rid"), "rid")
+    wanted = F.greatest(F.lit(16), 4 * F.col("nr")).alias("pivots")
+    drawn = (
+        r.join(large.select(*keys, wanted), keys)
+        .withColumn("nth", F.row_number().over(order))
+        .where((F.col("nth") <= MOST_PIVOTS) & (F.col("nth") <= F.col("pivots")))
+    )
+    pivots = materialise(
+        drawn.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("nth", "rid", "vec", "aux"))).alias("pivots")),
+        "neighbour-pivots",
     )
-    spread_r = r.join(sizes, keys, "left").select(
-        *r.columns,
-        F.explode(F.sequence(zero, nq - 1)).alias("qb"),
-        F.pmod(F.xxhash64("rid"), nr).alias("rb"),
+    key_fields = ", ".join(f"`{k}` {q.schema[k].dataType.simpleString()}" for k in keys)
+    low, high = (F.lit(x).cast("double") for x in ("inf", "-inf"))
+    placed = materialise(
+        _parted(r, large, keys, "rid", "r_parts").groupBy(*keys, "part")
+        .cogroup(_for_parts(pivots, large, keys, "r_parts").groupBy(*keys, "part"))
+        .applyInArrow(
+            _place(keys, search.balls, BOUNDED),
+            f"{key_fields}, cell long, rid long, vec array<double>, aux double, n long, plain long, "
+            "reach double, radius double, low array<double>, high array<double>",
+        ),
+        "neighbour-cells",
+    )
+    merged = lambda name, start, pick: F.aggregate(
+        F.collect_list(name), F.array_repeat(start, BOUNDED), lambda s, x: F.zip_with(s, x, lambda a, b: pick(a, b))
+    ).alias(name)  # one list per part
+    cells = materialise(
+        placed.where(F.col("n").isNotNull()).groupBy(*keys, "cell").agg(
+            F.sum("n").alias("n"), F.sum("plain").alias("plain"), F.max("reach").alias("reach"),
+            F.max("radius").alias("radius"), merged("low", low, F.least), merged("high", high, F.greatest),
+        ),
+        "neighbour-index",
+    )
+    columns = ("cell", "plain", "reach", "radius", "low", "high")
+    index = pivots.join(cells.groupBy(*keys).agg(F.collect_list(F.struct(*columns)).alias("cells")), keys)
+    qid = q.schema["qid"].dataType.simpleString()
+    asked = materialise(
+        _parted(q, large, keys, "qid", "q_parts").groupBy(*keys, "part")
+        .cogroup(_for_parts(index, large, keys, "q_parts").groupBy(*keys, "part"))
+        .applyInArrow(_ask(keys, search), f"{key_fields}, cell long, qid {qid}, vec array<double>"),
+        "neighbour-asked",
+    )
+    per_block = lambda n: F.ceil(n / BLOCK)
+    asking = asked.groupBy(*keys, "cell").agg(per_block(F.count(F.lit(1))).alias("nq"))
+    meeting = materialise(
+        cells.select(*keys, "cell", per_block(F.col("n")).alias("nr")).join(asking, [*keys, "cell"]),
+        "neighbour-blocks",
+    )
+    zero = F.lit(0).cast("long")
+    return _sides(
+        asked.join(meeting, [*keys, "cell"]),
+        placed.where(F.col("n").isNull()).join(meeting, [*keys, "cell"]),
+        keys,
+        ["cell", F.pmod(F.xxhash64("qid"), "nq").alias("qb"), F.explode(F.sequence(zero, F.col("nr") - 1)).alias("rb")],
+        ["cell", F.explode(F.sequence(zero, F.col("nq") - 1)).alias("qb"), F.pmod(F.xxhash64("rid"), "nr").alias("rb")],
     )
-    return spread_q.unionByName(spread_r)
+
+
+def _place(keys: list[str], balls: bool, bounded: int):
+    """References with their cell; one more row per cell tells how far its members are."""
+
+    def place(left: pa.Table, right: pa.Table) -> pa.Table:
+        points = list_matrix(left["vec"])
+        pivots = np.array([p["vec"] for p in right["pivots"][0].as_py()]) if len(right) else points[:0]
+        far = np.sqrt(squared_distances(points, pivots))
+        cell = far.argmin(axis=1) if len(left) else np.zeros(0, np.int64)
+        aux = left["aux"].to_numpy()
+        ball = ~np.isnan(aux) if balls else np.zeros(len(left), bool)
+        told = {c: [] for c in ("cell", "n", "plain", "reach", "radius", "low", "high")}
+        for c in np.unique(cell).tolist():
+            own = cell == c
+            low, high = np.zeros(bounded), np.full(bounded, np.inf)  # beyond the pivots: no bound
+            some = far[own, :bounded]
+            low[: some.shape[1]], high[: some.shape[1]] = some.min(axis=0), some.max(axis=0)
+            radius = float(aux[own & ball].max()) if (own & ball).any() else -np.inf
+            values = (c, int(own.sum()), int((own & ~ball).sum()), float(far[own, c].max()), radius, low, high)
+            for column, value in zip(told.values(), values, strict=True):
+                column.append(value)
+        n, m = len(left), len(told["cell"])
+        both = lambda first, second: pa.chunked_array([*(first.chunks if isinstance(first, pa.ChunkedArray) else [first]), second])
+        arrays = {k: both(left[k], left[k].combine_chunks().take(pa.array(np.zeros(m, np.int64)))) for k in keys}
+        lists = pa.list_(pa.float64())
+        arrays["cell"] = both(pa.array(cell, pa.int64()), pa.array(told["cell"], pa.int64()))
+        for c, kind in (("rid", pa.int64()), ("vec", lists), ("aux", pa.float64())):
+            arrays[c] = both(left[c].cast(kind), pa.nulls(m, kind))
+        for c, kind in (("n", pa.int64()), ("plain", pa.int64()), ("reach", pa.float64()), ("radius", pa.float64()), ("low", lists), ("high", lists)):
+            arrays[c] = both(pa.nulls(n, kind), pa.array(told[c], kind))
+        return pa.table(arrays)
+
+    return place
+
+
+def _ask(keys: list[str], search: Search):
+    """A row for every cell that a query needs."""
+
+    def needed(far: np.ndarray, within: np.ndarray, cells: dict[str, np.ndarray]) -> np.ndarray:
+        own = far[:, cells["cell"]]
+        nearer = np.maximum(own - cells["reach"], (own - far.min(axis=1)[:, None]) / 2)
+        for p in range(min(far.shape[1], cells["low"].shape[1])):
+            at = far[:, p, None]
+            np.maximum(nearer, np.maximum(at - cells["high"][:, p], cells["low"][:, p] - at), out=nearer)
+        nearer -= 1e-9 * (1 + far.max(axis=1)[:, None])  # rounding of the distances
+        found = (cells["plain"] > 0) & (nearer <= within[:, None])
+        found |= nearer < cells["radius"]
+        found[~found.any(axis=1), nearer[~found.any(axis=1)].argmin(axis=1)] = True
+        return found
+
+    def ask(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = left.select([*keys, "qid", "vec"])
+        if not (len(left) and len(right)):
+            return rows.slice(0, 0).append_column("cell", pa.array([], pa.int64()))
+        points = list_matrix(left["vec"])
+        pivots, listed = right["pivots"][0].as_py(), right["cells"][0].as_py()
+        cells = {c: np.array([x[c] for x in listed]) for c in ("cell", "plain", "reach", "radius", "low", "high")}
+        at = np.array([p["vec"] for p in pivots])
+        plain = np.array([not search.balls or p["aux"] is None or np.isnan(p["aux"]) for p in pivots])
+        of, to = [], []
+        for part in (slice(i, i + 512) for i in range(0, len(points), 512)):
+            far = np.sqrt(squared_distances(points[part], at))
+            known = np.where(plain, far, np.inf)
+            if search.skip_same:
+                same = left["qid"].to_numpy()[part, None] == np.array([p["rid"] for p in pivots])
+                known = np.where(same, np.inf, known)
+            k = search.k
+            within = np.partition(known, k - 1, axis=1)[:, k - 1] if k <= len(at) else np.full(len(far), np.inf)
+            row, cell = np.nonzero(needed(far, within, cells))
+            of.append(part.start + row)
+            to.append(cells["cell"][cell])
+        return rows.take(pa.array(np.concatenate(of))).append_column("cell", pa.array(np.concatenate(to), pa.int64()))
+
+    return ask
 
 
 def _single(max_queries: int | None, max_refs: int | None) -> bool:
@@ -166,7 +342,8 @@ def nearest(
 
     columns = [("near", T.DoubleType(), pa.float64()), ("hit", T.BooleanType(), pa.bool_())]
     one_block = _single(max_queries, max_refs)
-    met = _meet(queries, refs, keys, columns, kernel, one_block)
+    search = Search(1, balls=True, skip_same=skip_same)
+    met = _meet(queries, refs, keys, columns, kernel, one_block, search)
     if one_block:
         return met
     return met.groupBy(*keys, "qid").agg(F.min("near").alias("near"), F.max("hit").alias("hit"))
@@ -210,7 +387,7 @@ def k_nearest(
         ("aux", T.DoubleType(), pa.float64()),
         ("dist", T.DoubleType(), pa.float64()),
     ]
-    met = _meet(queries, refs, keys, columns, kernel, _single(max_queries, max_refs))
+    met = _meet(queries, refs, keys, columns, kernel, _single(max_queries, max_refs), Search(k))
     order = Window.partitionBy(*keys, "qid").orderBy("dist", "rid")
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
