@@ -48,6 +48,9 @@ class DetectorConfig:
     variance_floor: float = 0.001
     correlation_limit: float = 0.9
     importance_bins: int = 16
+    importance: str = "bins"  # bins | forest
+    forest_trees: int = 50
+    forest_depth: int = 8
     top_n: int = 10
     iqr_filter: bool = False
     lower_quantile: float = 0.10

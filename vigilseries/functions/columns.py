@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -68,6 +70,11 @@ def vector_distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def hash_uniform(*parts: Column) -> Column:
     """A number in [0, 1) from the first 32 bits of an md5, the same in any engine."""
     digest = F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]))

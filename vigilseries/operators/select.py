@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from vigilseries.config import DetectorConfig
 from vigilseries.functions.arrow import list_matrix
 from vigilseries.functions.columns import INSTANCE, SERIES
-from vigilseries.functions.quantiles import grouped_quantiles
 from vigilseries.functions.storage import materialise
+from vigilseries.operators import forest
 from vigilseries.operators.chunks import chunk_of, is_long
 
 # Metrics per side of a correlation block: 2 x 256 series x one chunk stay near 40 MB.
@@ -160,18 +160,8 @@ def importance(
 ) -> DataFrame:
     """Share of the row number's variance that the equal-frequency bins of a metric explain,
     normalised per instance: a one-level regression on the same target the forest would get."""
-    bins = cfg.importance_bins
-    cuts = [k / bins for k in range(1, bins)]
-    rows = aligned.join(stats.select(*SERIES, "lo"), [*SERIES])
-    splitters = grouped_quantiles(rows, SERIES, "value", cuts, steps, "cuts")
-    # number of cuts below the value, as plain comparisons
-    bin_of = sum(
-        ((F.col("value") > F.col("cuts")[i]).cast("int") for i in range(len(cuts))), F.lit(0)
-    )
-    y = ((F.col("t") - F.col("lo")) / cfg.freq).cast("double")
     binned = (
-        rows.join(splitters, [*SERIES])
-        .select(*SERIES, bin_of.alias("bin"), y.alias("y"))
+        forest.binned(aligned, stats, cfg, steps)
         .groupBy(*SERIES, "bin")
         .agg(
             F.count("y").alias("c"),
@@ -188,25 +178,6 @@ def importance(
     )
 
 
-def forest_importance(wide: DataFrame, metrics: Sequence[str], seed: int = 42) -> DataFrame:
-    """Importance of the columns of one large wide frame (column ``t`` gives the row order) by a
-    distributed forest of 50 trees that predicts the row number."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import RandomForestRegressor
-
-    # The step is a linear function of the row number, hence the same splits.
-    start = wide.agg(F.min("t")).first()[0]
-    rows = VectorAssembler(inputCols=list(metrics), outputCol="x").transform(
-        wide.na.fill(0.0, list(metrics)).withColumn("y", (F.col("t") - F.lit(start)).cast("double"))
-    )
-    forest = RandomForestRegressor(featuresCol="x", labelCol="y", numTrees=50, seed=seed)
-    weights = forest.fit(rows.select("x", "y")).featureImportances.toArray()
-    return wide.sparkSession.createDataFrame(
-        [(m, float(w)) for m, w in zip(metrics, weights, strict=True)],
-        "metric string, importance double",
-    )
-
-
 def top_n(stats: DataFrame, scores: DataFrame, n: int) -> DataFrame:
     """The ``n`` most important metrics, most important first; an instance with no more than ``n``
     metrics keeps them all in their original order. ``ord`` is renumbered."""
@@ -247,5 +218,6 @@ def select_metrics(
         varying_enough(variable(profile(aligned, metrics)), cfg.variance_floor), "profile"
     )
     kept = materialise(uncorrelated(stats, correlated(aligned, stats, cfg, steps)), "uncorrelated")
-    scores = importance(aligned, crowded(kept, cfg.top_n), cfg, steps)
+    weigh = {"bins": importance, "forest": forest.importance}[cfg.importance]
+    scores = weigh(aligned, crowded(kept, cfg.top_n), cfg, steps)
     return top_n(kept, scores, cfg.top_n)

@@ -19,7 +19,7 @@ from vigilseries.functions.columns import (
     vector_distance,
 )
 from vigilseries.functions.storage import materialise, stage_path
-from vigilseries.operators import align, detect, features, gates, kmeans, nsa, select
+from vigilseries.operators import align, detect, features, forest, gates, kmeans, nsa, select
 from vigilseries.operators import neighbours as nb
 from vigilseries.plans import oracle as o
 from vigilseries.plans import pipeline, tables
@@ -502,11 +502,13 @@ def importance_binned(spark, sf_dir):
     return select.importance(run.aligned, crowded, C, C.train_steps)
 
 
-@register("importance_rf")
-def importance_rf(spark, sf_dir):
-    daily = tables.daily_wide(spark, sf_dir).groupBy("t")
-    whole = daily.agg(*[F.avg(c).alias(c) for c in tables.DAILY])
-    return select.forest_importance(whole, tables.DAILY)
+@register("importance_forest", f"SELECT {SER}, {r7('importance')} AS importance FROM x_forest")
+def importance_forest(spark, sf_dir):
+    run = training(spark, sf_dir)
+    stats = select.varying_enough(select.variable(run.stats), C.variance_floor)
+    kept = select.uncorrelated(stats, select.correlated(run.aligned, stats, C, C.train_steps))
+    crowded = materialise(select.crowded(materialise(kept, "kept"), C.top_n), "crowded")
+    return forest.importance(run.aligned, crowded, C, C.train_steps)
 
 
 SELECTED_SQL = f"""SELECT {SER}, {big('ord')} AS ord, {r7('vmin')} AS vmin, {r7('vmax')} AS vmax,

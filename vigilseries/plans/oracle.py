@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 
 from vigilseries.config import DAY
+from vigilseries.operators import forest
 from vigilseries.plans.tables import CONFIG, DAILY, HOUR, METRICS, NOW
 
 C = CONFIG
@@ -206,6 +207,55 @@ part(
     SELECT {SER}, 1 - sum(ss - s * s / c) / (sum(ss) - sum(s) * sum(s) / sum(c)) AS raw
     FROM x_binned GROUP BY ALL))""",
 )
+# A forest, one recursive level after the other: sums per bin, best split, children.
+part(
+    "x_fr_rows",
+    f"""SELECT v.application, v.instance, p.pos, v.t, len(list_filter(cuts, lambda x: v.value > x)) AS bin,
+    CAST((v.t - lo) / {C.freq} AS DOUBLE) AS y FROM x_imp_rows v
+  JOIN (SELECT {SER}, quantile_cont(value, [{CUTS}]) AS cuts FROM x_imp_rows GROUP BY ALL) q ON {eq('v', 'q', SER)}
+  JOIN (SELECT {KEY}, min(t) AS lo FROM x_imp_rows GROUP BY ALL) b ON {eq('v', 'b', KEY)}
+  JOIN (SELECT {SER}, row_number() OVER (PARTITION BY {KEY} ORDER BY ord) - 1 AS pos FROM x_crowded) p
+    ON {eq('v', 'p', SER)}""",
+)
+part(
+    "x_fr_drawn",
+    f"""SELECT tree, y, {" + ".join(f"(u >= {x})::INT" for x in forest.DRAWN)} AS n FROM (
+  SELECT tree, y, {uniform(str(C.seed), "'tree'", 'tree', 'CAST(y AS BIGINT)')} AS u
+  FROM (SELECT DISTINCT y FROM x_fr_rows), range({C.forest_trees}) AS r(tree))""",
+)
+part(
+    "x_fr_node_0",
+    f"""SELECT {KEY}, t, tree, n, r.y, 1 AS node FROM (SELECT DISTINCT {KEY}, t, y FROM x_fr_rows) r
+  JOIN x_fr_drawn d ON r.y = d.y WHERE n > 0""",
+)
+for _level in range(C.forest_depth):
+    part(
+        f"x_fr_split_{_level}",
+        f"""SELECT {KEY}, tree, node, best.pos AS pos, best.bin AS bin, best.gain AS gain FROM (
+  SELECT {KEY}, tree, node, arg_max({{'pos': pos, 'bin': bin, 'gain': gain}}, ROW(gain, -pos, -bin)) AS best FROM (
+    SELECT *, s1 * s1 / c1 + (s - s1) * (s - s1) / (c - c1) - s * s / c AS gain FROM (
+      SELECT {KEY}, tree, node, pos, bin, sum(c) OVER u AS c1, sum(s) OVER u AS s1, sum(c) OVER w AS c, sum(s) OVER w AS s
+      FROM (SELECT x.application, x.instance, tree, node, pos, bin, CAST(sum(n) AS DOUBLE) AS c, sum(n * x.y) AS s
+        FROM x_fr_node_{_level} x JOIN x_fr_rows r ON {eq('x', 'r', KEY + ', t')} GROUP BY ALL)
+      WINDOW w AS (PARTITION BY {KEY}, tree, node, pos),
+        u AS (PARTITION BY {KEY}, tree, node, pos ORDER BY bin ROWS UNBOUNDED PRECEDING)) WHERE c1 < c)
+  GROUP BY ALL) WHERE best.gain > {forest.LEAST_GAIN}""",
+    )
+    part(
+        f"x_fr_node_{_level + 1}",
+        f"""SELECT x.application, x.instance, x.t, x.tree, x.n, x.y, 2 * x.node + (r.bin > s.bin)::INT AS node
+  FROM x_fr_node_{_level} x JOIN x_fr_split_{_level} s ON {eq('x', 's', KEY + ', tree, node')}
+  JOIN x_fr_rows r ON {eq('x', 'r', KEY + ', t')} AND r.pos = s.pos""",
+    )
+part(
+    "x_forest",
+    f"""SELECT c.application, c.instance, c.metric, coalesce(share / sum(share) OVER (PARTITION BY c.application, c.instance), 0.0) AS importance
+  FROM (SELECT {SER}, row_number() OVER (PARTITION BY {KEY} ORDER BY ord) - 1 AS pos FROM x_crowded) c
+  LEFT JOIN (SELECT {KEY}, pos, sum(gain / total) AS share FROM (
+    SELECT {KEY}, pos, gain, sum(gain) OVER (PARTITION BY {KEY}, tree) AS total FROM (
+      {" UNION ALL ".join(f"SELECT {KEY}, tree, pos, gain FROM x_fr_split_{k}" for k in range(C.forest_depth))}))
+    GROUP BY ALL) g ON {eq('c', 'g', KEY + ', pos')}""",
+)
 part(
     "x_selected",
     f"""SELECT {SER}, rk - 1 AS ord, vmin, vmax, importance FROM (
