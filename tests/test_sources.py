@@ -1,12 +1,15 @@
+import glob
 import json
+import os
 from datetime import datetime, timezone
 
 import pytest
 from pyspark.sql import functions as F
 
 from vigilseries.config import DAY, DetectorConfig
+from vigilseries.functions.storage import FileTree
 from vigilseries.operators import detect
-from vigilseries.sources import control, points, store
+from vigilseries.sources import control, points, store, upserts
 
 NOW = 1_000_000
 CFG = DetectorConfig(freq=60, train_seconds=1000, score_seconds=200)
@@ -239,3 +242,99 @@ def test_csv_round_trip(spark, tmp_path):
     with pytest.raises(ValueError, match="no rows"):
         (tmp_path / "none").mkdir()
         store.read_csv(spark, str(tmp_path / "none"), ["value"])
+
+
+def detection(at, rate, written, node="n"):
+    return (at, f"_predicted_m_{node}", "a", node, "m", "x", "3", float(rate), rate > 20, at + 1, at - 9, at, written)
+
+
+def detections(spark, rows):
+    names = store.DETECTION_SCHEMA.names
+    frame = spark.createDataFrame(rows, "time long, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in store.DETECTION_SCHEMA.fields[1:]))
+    return frame.withColumn("time", F.timestamp_seconds("time")).select(*names)
+
+
+def stored_rates(frame):
+    return sorted((r["s"], r["metricValue"]) for r in frame.select(F.unix_seconds("time").alias("s"), "metricValue").collect())
+
+
+def test_upserts_compaction_and_readers(spark, tmp_path):
+    path = str(tmp_path / "detections")
+    assert upserts.read(spark, path).count() == 0 and upserts.compact(spark, path) == 0
+    upserts.upsert(detections(spark, [detection(10, 1, 1), detection(DAY + 10, 2, 1)]), path)
+    upserts.upsert(detections(spark, [detection(10, 3, 2)]), path)
+    upserts.upsert(detections(spark, [detection(10, 4, 0)]), path)  # older than what is there
+    assert stored_rates(upserts.read(spark, path)) == [(10, 3.0), (DAY + 10, 2.0)]
+    early = upserts.read(spark, path)  # a reader on its way
+    assert upserts.compact(spark, path) == 2
+    upserts.upsert(detections(spark, [detection(DAY + 10, 5, 3), detection(2 * DAY, 6, 3)]), path)
+    assert stored_rates(early) == [(10, 3.0), (DAY + 10, 2.0)]
+    assert stored_rates(upserts.read(spark, path)) == [(10, 3.0), (DAY + 10, 5.0), (2 * DAY, 6.0)]
+    assert upserts.compact(spark, path) == 2  # the first day is not written again
+    assert stored_rates(upserts.read(spark, path)) == [(10, 3.0), (DAY + 10, 5.0), (2 * DAY, 6.0)]
+    assert stored_rates(store.latest(upserts.entries(spark, path, DAY, 2 * DAY - 1))) == [(DAY + 10, 5.0)]
+    upserts.forget(spark, path, "1970-01-02")
+    upserts.vacuum(spark, path)
+    assert stored_rates(upserts.read(spark, path)) == [(DAY + 10, 5.0), (2 * DAY, 6.0)]
+    left = {f for f in glob.glob(f"{path}/*-*/day=*")}
+    assert len(left) == 2 and len(glob.glob(f"{path}/manifests/*.json")) == 1
+
+
+def test_a_write_during_compaction_is_kept(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "detections")
+    upserts.upsert(detections(spark, [detection(10, 1, 1)]), path)
+    write = upserts._write
+
+    def slow(rows, files, kind):
+        done = write(rows, files, kind)
+        if kind == "base":
+            monkeypatch.setattr(upserts, "_write", write)
+            upserts.upsert(detections(spark, [detection(10, 7, 2)]), path)
+        return done
+
+    monkeypatch.setattr(upserts, "_write", slow)
+    upserts.compact(spark, path)
+    assert stored_rates(upserts.read(spark, path)) == [(10, 7.0)]
+
+
+def test_a_lost_race_for_the_manifest_is_run_again(spark, tmp_path):
+    files = FileTree(spark, str(tmp_path / "t"))
+    files.write("manifests/a.draft", b"{}")
+    files.write("manifests/b.draft", b"{}")
+    assert files.rename("manifests/a.draft", "manifests/1.json")
+    assert not files.rename("manifests/b.draft", "manifests/1.json")
+    assert files.names("manifests") == ["1.json"] and files.read("manifests/1.json") == b"{}"
+    assert files.names("nothing") == []
+
+
+def stamps(path):
+    return {f: os.stat(f).st_mtime_ns for f in glob.glob(f"{path}/application=*/date=*/*.parquet")}
+
+
+def test_retention_and_deletes_touch_their_days_only(spark, tmp_path):
+    path = str(tmp_path / "points")
+    apps = ["a", "b c", "d:e"]
+    rows = [point(d * DAY + h * 3600, app=a) for a in apps for d in range(4) for h in range(24)]
+    store.write_points(raw(spark, rows), path)
+    before = stamps(path)
+    store.drop_expired(spark, path, 4 * DAY, 3 * DAY - 6 * 3600)  # six hours of the second day go, too
+    kept = points.read_points(spark, path)
+    assert seconds(kept) == sorted(s for _ in apps for s in range(DAY + 6 * 3600, 4 * DAY, 3600))
+    after = stamps(path)
+    assert {f for f in after if "date=1970-01-01" in f} == set()
+    old = {f: t for f, t in before.items() if "date=1970-01-03" in f or "date=1970-01-04" in f}
+    assert len(old) >= 6 and all(after[f] == t for f, t in old.items())
+
+    before = stamps(path)
+    store.delete_points(spark, path, 2 * DAY, 3 * DAY + 3600 * 2)  # a day and three hours of the next
+    assert seconds(points.read_points(spark, path)) == sorted(
+        s for _ in apps for s in [*range(DAY + 6 * 3600, 2 * DAY, 3600), *range(3 * DAY + 3 * 3600, 4 * DAY, 3600)]
+    )
+    after = stamps(path)
+    assert all(after[f] == t for f, t in before.items() if "date=1970-01-02" in f)
+
+    before = stamps(path)
+    store.delete_points(spark, path, 0, 9 * DAY, "other")  # nothing of that name
+    assert stamps(path) == before
+    store.delete_points(spark, path, 0, 9 * DAY, rows[0][2])
+    assert points.read_points(spark, path).count() == 0 and stamps(path) == {}

@@ -72,6 +72,48 @@ def drop_stage_tables(spark: SparkSession) -> None:
     _delete(spark, [stage_folder(spark)])
 
 
+class FileTree:
+    """Files below a folder of any file system that Spark knows."""
+
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self._new = spark._jvm.org.apache.hadoop.fs.Path
+        self.root = root.rstrip("/")
+        self._files = self._new(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def path(self, name: str) -> str:
+        return f"{self.root}/{name}"
+
+    def names(self, folder: str = "") -> list[str]:
+        """What is directly in a folder; nothing if it does not exist."""
+        at = self._new(self.path(folder) if folder else self.root)
+        return [s.getPath().getName() for s in self._files.listStatus(at)] if self._files.exists(at) else []
+
+    def read(self, name: str) -> bytes:
+        stream = self._files.open(self._new(self.path(name)))
+        try:
+            return bytes(stream.readAllBytes())
+        finally:
+            stream.close()
+
+    def write(self, name: str, content: bytes) -> None:
+        stream = self._files.create(self._new(self.path(name)), False)
+        try:
+            stream.write(bytearray(content))
+        finally:
+            stream.close()
+
+    def rename(self, name: str, to: str) -> bool:
+        """Whether it was renamed; not if ``to`` exists. The draft is gone either way."""
+        target = self._new(self.path(to))
+        done = not self._files.exists(target) and self._files.rename(self._new(self.path(name)), target)
+        if not done:
+            self.delete(name)
+        return done
+
+    def delete(self, name: str) -> None:
+        self._files.delete(self._new(self.path(name)), True)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet stage table and read it back.
 

@@ -23,7 +23,7 @@ from vigilseries.operators import align, detect, features, forest, gates, kmeans
 from vigilseries.operators import neighbours as nb
 from vigilseries.plans import oracle as o
 from vigilseries.plans import pipeline, tables
-from vigilseries.sources import control, store
+from vigilseries.sources import control, store, upserts
 from vigilseries.sources import points as source
 from vigilseries.streaming import streams
 
@@ -1095,6 +1095,16 @@ FIELD_TEXT = ", ".join(
 FIELD_NAMES = ", ".join(f'"{f}"' for f in store.FIELDS)
 
 
+def detection_store(spark: SparkSession, sf_dir: str) -> str:
+    """Written in three parts, the first two of them compacted."""
+    rows, path = tables.stored_detections(spark, sf_dir), stage_path(spark, "detection-store")
+    for part in range(3):
+        upserts.upsert(rows.where(F.pmod("written", F.lit(3)) == part), path)
+        if part == 1:
+            upserts.compact(spark, path)
+    return path
+
+
 @register(
     "q_recent_detections",
     f"""SELECT {big('time')} AS time, method, node, metrics, field, field_value FROM (UNPIVOT (
@@ -1102,7 +1112,8 @@ FIELD_NAMES = ", ".join(f'"{f}"' for f in store.FIELDS)
       AND time >= {NOW - DAY} AND time < {NOW}) ON {FIELD_NAMES} INTO NAME field VALUE field_value)""",
 )
 def q_recent_detections(spark, sf_dir):
-    return store.recent_detections(tables.stored_detections(spark, sf_dir), "shop_0", NOW)
+    path = detection_store(spark, sf_dir)
+    return store.recent_detections(upserts.entries(spark, path, NOW - DAY, NOW), "shop_0", NOW)
 
 
 @register(
@@ -1132,14 +1143,22 @@ def q_nsa_mean_by_node(spark, sf_dir):
     GROUP BY x_stored.time, measurement, application_name, node, method, metrics, level""",
 )
 def detections_latest(spark, sf_dir):
-    return store.latest(tables.stored_detections(spark, sf_dir)).drop("written")
+    return upserts.read(spark, detection_store(spark, sf_dir)).drop("written")
+
+
+def point_store(spark: SparkSession, sf_dir: str) -> str:
+    path = stage_path(spark, "point-store")
+    store.write_points(tables.points(spark, sf_dir), path)
+    return path
 
 
 @register(
     "retention_keep", f"SELECT {POINT_SQL} FROM x_points WHERE ts >= {o.moment(NOW - 10 * DAY)}"
 )
 def retention_keep(spark, sf_dir):
-    return store.retained(tables.points(spark, sf_dir), NOW, 10 * DAY).select(*POINT)
+    path = point_store(spark, sf_dir)
+    store.drop_expired(spark, path, NOW, 10 * DAY)
+    return source.read_points(spark, path).select(*POINT)
 
 
 @register(
@@ -1148,7 +1167,9 @@ def retention_keep(spark, sf_dir):
     ts >= {o.moment(LO)} AND ts <= {o.moment(MID)})""",
 )
 def purge_keep(spark, sf_dir):
-    return store.purged(tables.points(spark, sf_dir), LO, MID, "adt_error").select(*POINT)
+    path = point_store(spark, sf_dir)
+    store.delete_points(spark, path, LO, MID, "adt_error")
+    return source.read_points(spark, path).select(*POINT)
 
 
 # --- streaming --------------------------------------------------------------------------------
@@ -1257,7 +1278,7 @@ def stream_late(spark, sf_dir):
     path = stage_path(spark, "late")
     events = tables.read(spark, sf_dir, "events")
     split = F.unix_seconds(F.col("ts").cast("timestamp")) >= MID
-    events.where(split).coalesce(1).write.parquet(f"{path}/in")
+    events.where(split).write.parquet(f"{path}/in")
     out, mark = f"{path}/out", f"{path}/checkpoint"
 
     def run() -> None:
@@ -1267,7 +1288,7 @@ def stream_late(spark, sf_dir):
         streams.run_available(streams.table_sink(means, out, mark))
 
     run()
-    events.where(~split).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    events.where(~split).write.mode("append").parquet(f"{path}/in")
     run()
     found = spark.read.parquet(out)
     return found.select(*SERIES, epoch(F.col("step.start")).alias("t"), "value")

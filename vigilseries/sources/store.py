@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vigilseries.config import DetectorConfig
+from vigilseries.config import DAY, DetectorConfig
 from vigilseries.functions.columns import INSTANCE, utc_day
+from vigilseries.functions.storage import FileTree, materialise
+from vigilseries.sources.points import POINT_SCHEMA, in_range, read_points
 
 TAGS = ("application_name", "node", "method", "metrics", "level")
 FIELDS = ("metricValue", "anomaly", "predictionTime", "window_start", "window_end")
@@ -143,6 +147,78 @@ def write_points(points: DataFrame, path: str, mode: str = "append") -> None:
     )
 
 
+Partition = tuple[str, str | None, str]  # directory, application, day
+
+
+def _partitions(files: FileTree) -> list[Partition]:
+    """The partitions of the point store, from the names of their directories."""
+    found = []
+    for app in (n for n in files.names() if n.startswith("application=")):
+        value = unquote(app.removeprefix("application="))
+        value = None if value == "__HIVE_DEFAULT_PARTITION__" else value
+        found += [(f"{app}/{d}", value, d.removeprefix("date=")) for d in files.names(app) if d.startswith("date=")]
+    return found
+
+
+def _with_rows(points: DataFrame) -> set[tuple[str | None, str]]:
+    return {(r.application, str(r.date)) for r in points.select("application", "date").distinct().collect()}
+
+
+def _rewrite(spark: SparkSession, path: str, files: FileTree, touched: list[Partition], kept: Column) -> None:
+    """Keep some rows of some partitions. The kept rows are written elsewhere first, then put in
+    place; partitions without any are removed, all others are not touched."""
+    if not touched:
+        return
+    schema = T.StructType([*POINT_SCHEMA.fields, T.StructField("date", T.DateType())])
+    rows = spark.read.schema(schema).option("basePath", path).parquet(*[files.path(p) for p, _, _ in touched])
+    left = materialise(rows.where(kept), "points-kept")
+    (
+        left.hint("rebalance", "application", "date")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("application", "date")
+        .parquet(path)
+    )
+    full = _with_rows(left)
+    for directory, application, day in touched:
+        if (application, day) not in full:
+            files.delete(directory)
+
+
+def drop_expired(spark: SparkSession, path: str, now: int, seconds: int) -> None:
+    """Remove points older than so many seconds from the point store. Whole days go without being
+    read; the day of the border is rewritten; other files stay as they are."""
+    files, oldest = FileTree(spark, path), now - seconds
+    border = date.fromordinal(date(1970, 1, 1).toordinal() + oldest // DAY).isoformat()
+    partitions = _partitions(files)
+    for directory, _, day in partitions:
+        if day < border:
+            files.delete(directory)
+    young = F.col("ts") >= F.timestamp_seconds(F.lit(oldest))
+    _rewrite(spark, path, files, [p for p in partitions if p[2] == border], young)
+
+
+def delete_points(spark: SparkSession, path: str, start: int, stop: int, measurement: str | None = None) -> None:
+    """Delete ``[start, stop]`` from the point store, of one measurement or of all. Days that go as a
+    whole are not read; of the others, partitions without such points stay as they are."""
+    files = FileTree(spark, path)
+    doomed = F.col("ts").between(F.timestamp_seconds(F.lit(start)), F.timestamp_seconds(F.lit(stop)))
+    if measurement is not None:
+        doomed = doomed & (F.col("measurement") == measurement)
+    epoch = date(1970, 1, 1).toordinal()
+    some = []
+    for directory, application, day in _partitions(files):
+        first = (date.fromisoformat(day).toordinal() - epoch) * DAY
+        if measurement is None and start <= first and first + DAY <= stop:
+            files.delete(directory)
+        elif first <= stop and start < first + DAY:
+            some.append((directory, application, day))
+    if some:
+        hit = _with_rows(in_range(read_points(spark, path), start, stop + 1).where(doomed))
+        some = [p for p in some if p[1:] in hit]
+    _rewrite(spark, path, files, some, ~F.coalesce(doomed, F.lit(False)))
+
+
 def metric_csv_schema(metric: str) -> T.StructType:
     return T.StructType(
         [
