@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from vigilseries.config import DetectorConfig
 from vigilseries.functions import storage
 from vigilseries.functions.columns import INSTANCE
-from vigilseries.functions.quantiles import bracketed_quantiles
+from vigilseries.functions.quantiles import at_ranks, bracketed_quantiles, grouped_quantiles
 from vigilseries.operators import kmeans, nsa
 
 
@@ -89,3 +89,55 @@ def test_cluster_bits_do_not_depend_on_the_plan(spark, monkeypatch):
             bits[r.t] = near[0] <= near[1]
         sides.append(bits)
     assert sides[0] == sides[1]
+
+
+def test_quantiles_are_the_same_number_on_both_paths(spark):
+    rows = spark.range(3000).select(
+        (F.col("id") % 3).alias("g"), (F.pmod(F.xxhash64("id"), F.lit(997)) / 7).alias("v")
+    )
+    shares = [0.05, 0.25, 1 / 3, 0.5, 0.9, 0.95, 0.999]
+    got = [
+        {r.g: list(r.quantiles) for r in grouped_quantiles(rows, ["g"], "v", shares, bound).collect()}
+        for bound in (3000, None)
+    ]
+    assert got[0] == got[1]
+
+
+def test_percentiles_with_weights_are_the_same_number_on_both_paths(spark):
+    rows = spark.range(2000).select(
+        F.lit("a").alias("application"), (F.col("id") % 2).cast("string").alias("instance"),
+        (F.pmod(F.xxhash64("id"), F.lit(300)) / 9).alias("near"), (1 + F.col("id") % 5).alias("n"),
+    )
+    for p in (0.0, 0.1, 0.5, 0.951, 1.0):
+        direct = rows.groupBy(*INSTANCE).agg(F.percentile("near", F.lit(p), F.col("n")).alias("q"))
+        wanted = {r.instance: r.q for r in direct.collect()}
+        assert {r.instance: r.q for r in nsa.weighted_percentile(rows, p).collect()} == wanted
+
+
+def test_the_value_at_a_rank(spark):
+    values = [(g, float(v)) for g in "ab" for v in [5, 5, 5, 1, 2, 9, 9, 7]] + [("c", 3.0)]
+    rows = spark.createDataFrame(values, "g string, v double")
+    ranks = spark.createDataFrame([("a", 0, 2), ("a", 1, 7), ("b", 0, 4), ("b", 1, 0), ("c", 0, 0)], "g string, i int, rank long")
+    got = {(r.g, r.i): (r.picked, r.below) for r in at_ranks(rows, ["g"], "v", ranks).collect()}
+    assert got == {("a", 0): (5.0, 2), ("a", 1): (9.0, 6), ("b", 0): (5.0, 2), ("b", 1): (1.0, 0), ("c", 0): (3.0, 0)}
+
+
+def test_models_do_not_depend_on_the_plan(spark, monkeypatch):
+    """Thresholds, ranges and bits of both methods are equal, not nearly so, on both sides of the
+    bound on rows in a task."""
+    cfg = DetectorConfig(max_detectors=60, max_attempts=2)
+    rows = spark.range(500).select(
+        F.lit("a").alias("application"), F.lit("i").alias("instance"), F.col("id").alias("t"),
+        F.array(*[F.pmod(F.xxhash64("id", F.lit(k)), F.lit(50)) / 70 for k in range(3)]).alias("vec"),
+    )
+    sides = []
+    for limit in (0, 10**9):
+        monkeypatch.setattr(nsa, "IN_MEMORY_ROWS", limit)
+        model = nsa.train(rows, cfg, 3, 500)
+        bits = nsa.score(rows, model, cfg, max_queries=500, max_points=500)
+        sides.append((
+            [tuple(r) for r in model.params.collect()],
+            sorted((r.det_id, tuple(r.centre), r.radius) for r in model.detectors.collect()),
+            sorted((r.t, r.anomaly_bit) for r in bits.collect()),
+        ))
+    assert sides[0] == sides[1]

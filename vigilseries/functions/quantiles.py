@@ -4,14 +4,59 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilseries.functions.columns import every_salt, salt
+from vigilseries.functions.storage import materialise
 
 # Above this many rows per group the in-memory aggregate is replaced by the bracketing plan.
 IN_MEMORY_ROWS = 200_000
 SKETCH_ACCURACY = 10_000
+BUCKETS = 100  # of a group whose values are searched for a rank
+
+
+def interpolated(low: str, high: str, rank: Column) -> Column:
+    """Between the values at the ranks below and above, with the operations of the built-in
+    aggregate in their order, so that both give the same number."""
+    below, above = rank - F.floor(rank), F.ceil(rank) - rank
+    between = above * F.col(low) + below * F.col(high)
+    return F.when(F.col(low) == F.col(high), F.col(low)).otherwise(between)
+
+
+def at_ranks(
+    df: DataFrame, keys: Sequence[str], value: str, ranks: DataFrame, weight: str | None = None
+) -> DataFrame:
+    """``keys, i, picked, below`` for the wanted ``ranks`` (``keys, i, rank``, counted from 0): the
+    value at that rank of its group and the weight of all smaller values.
+
+    Equal values are counted together first. A sketch cuts each group into buckets; their sums tell
+    which one holds a rank, and only the values of that bucket are ordered, never a group."""
+    keys = list(keys)
+    rows = df.where(F.col(value).isNotNull())
+    borders = rows.groupBy(*keys).agg(
+        F.percentile_approx(value, [k / BUCKETS for k in range(1, BUCKETS)], 10 * BUCKETS).alias("_ends")
+    )
+    counts = rows.groupBy(*keys, F.col(value).alias("_v")).agg(
+        F.sum(F.lit(1) if weight is None else F.col(weight)).cast("long").alias("_m")
+    )
+    parted = counts.withColumn("_salt", salt(F.col("_v"))).join(
+        borders.withColumn("_salt", every_salt()), [*keys, "_salt"]
+    )
+    bucket = F.size(F.filter("_ends", lambda x: x < F.col("_v")))
+    cut = materialise(parted.select(*keys, "_v", "_m", bucket.alias("_bucket")), "ranked-values")
+    order = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
+    sums = cut.groupBy(*keys, "_bucket").agg(F.sum("_m").alias("_w"))  # a few rows per group
+    starts = sums.withColumn("_start", F.sum("_w").over(order) - F.col("_w"))
+    chosen = ranks.join(starts, keys).where(
+        (F.col("rank") >= F.col("_start")) & (F.col("rank") < F.col("_start") + F.col("_w"))
+    )
+    inside = cut.join(chosen.select(*keys, "i", "rank", "_bucket", "_start"), [*keys, "_bucket"])
+    order = Window.partitionBy(*keys, "i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    upto = F.col("_start") + F.sum("_m").over(order)
+    ranked = inside.withColumn("_upto", upto).withColumn("_below", F.col("_upto") - F.col("_m"))
+    hit = ranked.where((F.col("rank") >= F.col("_below")) & (F.col("rank") < F.col("_upto")))
+    return hit.select(*keys, "i", F.col("_v").alias("picked"), F.col("_below").alias("below"))
 
 
 def grouped_quantiles(
@@ -92,8 +137,7 @@ def bracketed_quantiles(
         F.when((rank < F.col("_upto")) & (rank >= F.col("_upto") - F.col("_c")), F.col("_w"))
     )
     picked = ranked.groupBy(*keys, "_b").agg(hit(below).alias("_lo"), hit(above).alias("_hi"))
-    share = F.col("_b.rank") - F.floor("_b.rank")
-    quantile = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * share
+    quantile = interpolated("_lo", "_hi", F.col("_b.rank"))
     ordered = F.array_sort(
         F.collect_list(F.struct(F.col("_b.i").alias("i"), quantile.alias("q")))
     )

@@ -14,13 +14,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vigilseries.config import DetectorConfig
 from vigilseries.functions.arrow import list_matrix, matrix_list
 from vigilseries.functions.columns import INSTANCE, every_salt, hash_uniform, salt, vector_norm
-from vigilseries.functions.quantiles import IN_MEMORY_ROWS
+from vigilseries.functions.quantiles import IN_MEMORY_ROWS, at_ranks, interpolated
 from vigilseries.functions.storage import materialise
 from vigilseries.operators.neighbours import distinct_points, first_copies, k_nearest, nearest
 
@@ -70,24 +70,18 @@ def threshold(
 
 
 def weighted_percentile(weighted: DataFrame, p: float) -> DataFrame:
-    """Exact percentile of ``near`` with ``n`` copies each: counts per distinct distance, then a
-    running count (sorted, may spill)."""
-    counts = weighted.groupBy(*INSTANCE, "near").agg(F.sum("n").alias("n"))
-    whole = Window.partitionBy(*INSTANCE)
-    upto = F.sum("n").over(whole.orderBy("near").rowsBetween(Window.unboundedPreceding, 0))
+    """Exact percentile of ``near`` with ``n`` copies each, without ordering a group."""
     total = weighted.groupBy(*INSTANCE).agg((F.lit(p) * (F.sum("n") - 1)).alias("rank"))
-    ranked = counts.withColumn("upto", upto).join(total, [*INSTANCE])
-    def at(rank: Column) -> Column:
-        here = (rank < F.col("upto")) & (rank >= F.col("upto") - F.col("n"))
-        return F.max(F.when(here, F.col("near")))
-    return (
-        ranked.groupBy(*INSTANCE)
-        .agg(
-            at(F.floor("rank")).alias("lo"),
-            at(F.ceil("rank")).alias("hi"),
-            F.max(F.col("rank") - F.floor("rank")).alias("share"),
-        )
-        .select(*INSTANCE, (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("share")).alias("q"))
+    total = materialise(total, "percentile-ranks")
+    ends = F.explode(F.array(
+        F.struct(F.lit("lo").alias("i"), F.floor("rank").alias("at")),
+        F.struct(F.lit("hi").alias("i"), F.ceil("rank").alias("at")),
+    )).alias("e")
+    ranks = total.select(*INSTANCE, ends).select(*INSTANCE, "e.i", F.col("e.at").alias("rank"))
+    of = lambda i: F.max(F.when(F.col("i") == i, F.col("picked"))).alias(i)
+    picked = at_ranks(weighted, INSTANCE, "near", ranks, "n").groupBy(*INSTANCE).agg(of("lo"), of("hi"))
+    return picked.join(total, [*INSTANCE]).select(
+        *INSTANCE, interpolated("lo", "hi", F.col("rank")).alias("q")
     )
 
 
@@ -146,8 +140,9 @@ def _seed_task(mode: str):
 
 
 def _seeds_by_level(selves: DataFrame, mode: str) -> DataFrame:
-    """The same tree for instances too large for one task: one aggregate and one ordering of
-    (value, id) per level; the points stay distributed."""
+    """The same tree for instances too large for one task. A level finds the value in the middle of
+    every node and, where several points have it, the identifier in the middle of those; a point
+    then knows its side by comparing. Nodes are never ordered as a whole. Identifiers are unique."""
     points = materialise(
         selves.select(*INSTANCE, "rid", "vec", F.lit(0).cast("long").alias("node")), "tree"
     )
@@ -184,17 +179,32 @@ def _seeds_by_level(selves: DataFrame, mode: str) -> DataFrame:
         split = bounds.select(*INSTANCE, "node", "size", widest.alias("axis")).join(
             limits.where(F.col("levels") > level + 1), [*INSTANCE]
         )
-        order = Window.partitionBy(*INSTANCE, "node").orderBy("value", "rid")
-        sided = (
-            points.join(split.where(F.col("size") > 1), [*INSTANCE, "node"])
+        node = [*INSTANCE, "node"]
+        sided = materialise(
+            points.join(split.where(F.col("size") > 1), node)
             .withColumn("value", F.element_at("vec", F.col("axis")))
-            .withColumn("nth", F.row_number().over(order))
-        )
-        child = F.when(F.col("nth") <= F.floor(F.col("size") / 2), 2 * F.col("node") + 1).otherwise(
-            2 * F.col("node") + 2
+            .withColumn("salt", salt(F.col("rid"))),
+            f"tree-values-{level}",
         )
+        half = F.floor(F.col("size") / 2).alias("rank")
+        wanted = split.where(F.col("size") > 1).select(*node, half, F.lit(0).alias("i"))
+        wanted = materialise(wanted, f"tree-ranks-{level}")
+        middle = materialise(
+            at_ranks(sided, node, "value", wanted).drop("i").join(wanted.drop("i"), node)
+            .select(*node, "picked", (F.col("rank") - F.col("below")).alias("ties_left")),
+            f"tree-middles-{level}",
+        )
+        met = sided.join(middle.withColumn("salt", every_salt()), [*node, "salt"])
+        ties = met.where((F.col("value") == F.col("picked")) & (F.col("ties_left") > 0)).select(*node, "rid")
+        tied = middle.where(F.col("ties_left") > 0).select(*node, F.col("ties_left").alias("rank"), F.lit(0).alias("i"))
+        first_right = at_ranks(ties, node, "rid", tied).select(*node, F.col("picked").alias("rid_right"))
+        told = middle.join(first_right, node, "left").withColumn("salt", every_salt())
+        tie = (F.col("value") == F.col("picked")) & F.coalesce(F.col("rid") < F.col("rid_right"), F.lit(False))
+        left = (F.col("value") < F.col("picked")) | tie
+        child = F.when(left, 2 * F.col("node") + 1).otherwise(2 * F.col("node") + 2)
         points = materialise(
-            sided.select(*INSTANCE, "rid", "vec", child.alias("node")), f"tree-{level}"
+            sided.join(told, [*node, "salt"]).select(*INSTANCE, "rid", "vec", child.alias("node")),
+            f"tree-{level}",
         )
     return found
 
