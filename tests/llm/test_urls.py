@@ -73,3 +73,22 @@ def test_empty_and_null_rules(spark):
     rules = urls.rule_table(spark, [(None, "/", "block"), ("com", None, "block"), ("com", "/", None)])
     assert urls.judged(pages, rules, default="block").first().verdict == "block"
     assert urls.judged(pages.limit(0), urls.rule_table(spark, URL_RULES)).count() == 0
+
+
+def test_one_address_over_many_partitions(spark):
+    """A single address on all rows: borders cut it evenly, from a sample of bounded size."""
+    pages = spark.range(200_000).select(F.col("id").alias("page_id"), F.lit("http://www.example.com/en/a").alias("url"))
+    keyed = pages.select(
+        urls.key_of(urls.host_of(F.col("url"))).alias("key"),
+        F.xxhash64("url", F.monotonically_increasing_id()).alias("spread"),
+    )
+    borders = urls._splitters(keyed)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert n - 2 <= len(borders) <= n and len(set(borders)) == len(borders)
+    step = 200_000 // (n * urls.SAMPLED_PER_PARTITION)
+    assert keyed.where(F.pmod("spread", F.lit(step)) == 0).count() < 3 * n * urls.SAMPLED_PER_PARTITION
+    found = urls.judged(pages, urls.rule_table(spark, URL_RULES))
+    got = found.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("rule").alias("k"))
+    sizes = [r.n for r in got.collect()]
+    assert sum(sizes) == 200_000 and len(sizes) >= n // 2 and max(sizes) < 200_000 / 2
+    assert found.select("rule", "verdict").distinct().collect() == [("www.example.com/en/", "allow")]

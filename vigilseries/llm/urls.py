@@ -138,12 +138,13 @@ def judged(
     are judged alike; without rules or pages nothing breaks. Select the columns to carry first.
     """
     url = column(url_column)
-    # The hash spreads one host over partitions.
+    # The hash spreads one host, and one address, over partitions; the sample is drawn by it, too, so
+    # that it grows with the partitions only and a frequent address has borders of its own.
     keyed = pages.select(
         row_struct(pages).alias("row"), host_of(url).alias("host"), path_of(url).alias("path"),
         F.xxhash64(F.coalesce(url, F.lit("")), F.monotonically_increasing_id()).alias("spread"),
     ).withColumn("key", key_of(F.col("host")))
-    borders = _splitters(pages.select(key_of(host_of(url)).alias("key"), F.xxhash64(url).alias("spread")))
+    borders = _splitters(keyed.select("key", "spread"))
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
