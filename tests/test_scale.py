@@ -1,6 +1,7 @@
 """Stage storage, and the plans of large groups when nothing may be broadcast."""
 
 import os
+from dataclasses import replace
 from types import SimpleNamespace
 
 import pytest
@@ -141,3 +142,33 @@ def test_models_do_not_depend_on_the_plan(spark, monkeypatch):
             sorted((r.t, r.anomaly_bit) for r in bits.collect()),
         ))
     assert sides[0] == sides[1]
+
+
+def test_detectors_of_one_task_are_those_of_many(spark, monkeypatch):
+    """Seeds, draws, walks and the cap, in an instance's task and as rows; two instances with
+    different dimensions, one with copies."""
+    cfg = DetectorConfig(max_detectors=80, max_attempts=3, self_percentage=0.08)
+    value = lambda k: F.pmod(F.xxhash64("id", F.lit(k)), F.lit(40)) / 60
+    rows = spark.range(600).select(
+        F.lit("a").alias("application"), F.when(F.col("id") < 400, "i").otherwise("j").alias("instance"),
+        F.col("id").alias("t"),
+        F.when(F.col("id") < 400, F.array(*[value(k) for k in range(4)])).otherwise(F.array(value(0), value(1))).alias("vec"),
+    )
+    rows = rows.unionByName(rows.where("t % 5 = 0").withColumn("t", F.col("t") + 10_000))
+    sides = []
+    for limit in (2048, 0):
+        monkeypatch.setattr(nsa, "BLOCK", limit)
+        for mode in ("corners", "centroids", "none"):
+            model = nsa.train(rows, replace(cfg, seed_mode=mode), 4, 1000)
+            sides.append(sorted((r.instance, r.det_id, tuple(r.centre), r.radius) for r in model.detectors.collect()))
+    assert sides[:3] == sides[3:] and all(len({r[0] for r in s}) == 2 for s in sides)
+
+
+def test_no_candidate_is_a_row_where_an_instance_is_one_task(spark):
+    rows = spark.range(50).select(
+        F.lit("a").alias("application"), F.lit("i").alias("instance"), F.col("id").alias("rid"),
+        F.array(F.col("id") / 50).alias("vec"),
+    )
+    known = nsa.params(rows, 0.05)
+    plan = nsa.detectors(rows, rows, known, DetectorConfig(), 1, 50)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "centre" not in "".join(joins(nsa.detectors(rows, rows, known, DetectorConfig(), 1, 50)))

@@ -8,9 +8,11 @@ be repeated exactly.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,14 @@ from vigilseries.functions.arrow import list_matrix, matrix_list
 from vigilseries.functions.columns import INSTANCE, every_salt, hash_uniform, salt, vector_norm
 from vigilseries.functions.quantiles import IN_MEMORY_ROWS, at_ranks, interpolated
 from vigilseries.functions.storage import materialise
-from vigilseries.operators.neighbours import distinct_points, first_copies, k_nearest, nearest
+from vigilseries.operators.neighbours import (
+    BLOCK,
+    distinct_points,
+    first_copies,
+    k_nearest,
+    nearest,
+    squared_distances,
+)
 
 LEAF_ROWS = 40  # fixed value: rows per leaf at which the seed tree stops splitting
 RANDOM_CANDIDATE = 1_000_000_000  # candidates from here on are random, smaller ones are tree nodes
@@ -338,6 +347,74 @@ def cap_detectors(found: DataFrame, limit: int) -> DataFrame:
     )
 
 
+def uniform_of(*parts: object) -> float:
+    """:func:`hash_uniform` of plain values."""
+    text = "|".join(map(str, parts))
+    return int(hashlib.md5(text.encode()).hexdigest()[:8], 16) / 4294967296.0
+
+
+@lru_cache(maxsize=8)
+def _unit_points(seed: int, count: int, dim: int) -> np.ndarray:
+    return np.array([[uniform_of(seed, "centre", i, j) for j in range(dim)] for i in range(count)])
+
+
+@lru_cache(maxsize=4096)
+def _walk(seed: int, share: float, cand: int, attempts: int, dim: int) -> np.ndarray:
+    """How far a candidate has moved after each attempt; one walk serves the whole fleet."""
+    steps = [[2 * share * uniform_of(seed, "step", cand, a, j) - share for j in range(dim)] for a in range(1, attempts + 1)]
+    return np.cumsum(np.array(steps).reshape(attempts, dim), axis=0)
+
+
+def _nearest_of(centres: np.ndarray, points: np.ndarray) -> np.ndarray:
+    size = max(1, 65_536 // len(points))
+    parts = [squared_distances(centres[i : i + size], points).min(axis=1) for i in range(0, len(centres), size)]
+    return np.sqrt(np.concatenate(parts)) if parts else np.zeros(0)
+
+
+def _detector_task(cfg: DetectorConfig, max_dim: int):
+    """All detectors of an instance: candidates in order, each moved until it fits."""
+
+    def compute(left: pa.Table, right: pa.Table) -> pa.Table:
+        numbers, centres, radii = [], [], []
+        if len(left) and len(right):
+            x, r = list_matrix(left["vec"]), right["self_radius"][0].as_py()
+            dim = x.shape[1]
+            known: dict[bytes, tuple[int, np.ndarray]] = {}
+            if cfg.seed_mode != "none":
+                for node, centre in _tree_nodes(x, left["rid"].to_numpy(), cfg.seed_mode):
+                    known.setdefault((centre + 0.0).tobytes(), (node, centre))
+            units = _unit_points(cfg.seed, cfg.max_detectors, max_dim)[:, :dim]
+            drawn = (1 + 2 * r) * units - r
+            cand = [node for node, _ in known.values()] + [RANDOM_CANDIDATE + i for i in range(len(drawn))]
+            at = np.concatenate([np.array([c for _, c in known.values()]).reshape(-1, dim), drawn])
+            points = np.unique(x, axis=0)
+            radius = _nearest_of(at, points) - r
+            for attempt in range(cfg.max_attempts):
+                rest = np.flatnonzero(radius <= 0)
+                if not len(rest):
+                    break
+                walk = [_walk(cfg.seed, cfg.self_percentage, cand[i], cfg.max_attempts, max_dim)[attempt, :dim] for i in rest]
+                moved = at[rest] + np.array(walk)
+                tried = _nearest_of(moved, points) - r
+                fits = tried > 0
+                radius[rest[fits]] = tried[fits]
+                at[rest[fits]] = moved[fits]
+            chosen = np.flatnonzero(radius > 0)[: cfg.max_detectors]
+            numbers, centres, radii = list(range(len(chosen))), at[chosen].tolist(), radius[chosen].tolist()
+        key = [left[c][0].as_py() if len(left) else None for c in INSTANCE]
+        return pa.table(
+            {
+                "application": pa.array([key[0]] * len(numbers), pa.string()),
+                "instance": pa.array([key[1]] * len(numbers), pa.string()),
+                "det_id": pa.array(numbers, pa.int32()),
+                "centre": pa.array(centres, pa.list_(pa.float64())),
+                "radius": pa.array(radii, pa.float64()),
+            }
+        )
+
+    return compute
+
+
 def detectors(
     selves: DataFrame,
     once: DataFrame,
@@ -346,7 +423,19 @@ def detectors(
     max_dim: int,
     max_points: int | None = None,
 ) -> DataFrame:
-    """Candidates that fit at once or after some perturbation, at most ``max_detectors``."""
+    """Candidates that fit at once or after some perturbation, at most ``max_detectors``. Where the
+    points of an instance are known to fit one block they move once, and the instance's task draws and
+    tests the candidates; no candidate is a row."""
+    if max_points is not None and max_points <= BLOCK:
+        keys = list(INSTANCE)
+        return (
+            selves.select(*keys, "rid", "vec").groupBy(*keys)
+            .cogroup(params.select(*keys, "self_radius").groupBy(*keys))
+            .applyInArrow(
+                _detector_task(cfg, max_dim),
+                "application string, instance string, det_id int, centre array<double>, radius double",
+            )
+        )
     drawn = candidates(selves, params, cfg, max_dim, max_points)
     bound = None if max_points is None else cfg.max_detectors + max_points
     tested = materialise(measure(drawn, once, params, bound, max_points), "candidates")
