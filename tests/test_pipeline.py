@@ -159,3 +159,35 @@ def test_stream_equals_batch(spark, base, tmp_path):
     assert alerts.count() == stored.where("anomaly").count() > 0
     streams.run_available(sink)  # nothing new: nothing is written twice
     assert spark.read.parquet(str(tmp_path / "detections")).count() == stored.count()
+
+
+def test_cycles_record_what_they_leave_out_and_how_long_they_take(spark, base, tmp_path):
+    from vigilseries.plans import cycles
+    from vigilseries.sources import upserts
+
+    points, models, want = base
+    store, status = str(tmp_path / "store"), str(tmp_path / "status")
+    silent = points.where(~((F.col("instance") == "wild") & (F.col("ts") >= F.timestamp_seconds(F.lit(NOW - 3600)))))
+    assert cycles.margin(spark, status, CFG) == CFG.safety_margin
+    for _ in range(2):  # again for the same time: nothing is stored twice
+        cycles.run(points, models, NOW, CFG, store, status)
+    assert rows_of(upserts.read(spark, store)) == want
+    assert cycles.read_skipped(spark, status).count() == 0
+    done = cycles.read_cycles(spark, status).collect()
+    assert len(done) == 2 and all(r.seconds >= 1 and r.detections == len(want) for r in done)
+    assert all(r.flagged == sum(w[3] for w in want) for r in done)
+
+    cycles.record(spark, status, NOW, 701.2, 1, 0)  # one that took longer than two horizons
+    assert cycles.margin(spark, status, CFG) == 702
+    cycles.run(silent, models, NOW + 7, CFG, store, status)
+    skipped = {(r.instance, r.metric, r.reason) for r in cycles.read_skipped(spark, status).collect()}
+    assert ("wild", None, cycles.INCOMPLETE) in skipped and sum(r[2] == cycles.MISSING for r in skipped) == 5
+    assert not any(r[0] == "calm" for r in skipped)
+    times = {r.predictionTime - NOW for r in upserts.read(spark, store).where(F.unix_seconds("time") == NOW + 7).collect()}
+    assert times == {900}  # a slot is skipped: 600 with the configured margin
+
+    few = cycles.left_out_of_training(points, NOW, replace(CFG, min_records=10_000))
+    assert sorted((r.instance, r.reason) for r in few.where("metric is null").collect()) == [
+        ("calm", cycles.NO_DATA), ("wild", cycles.NO_DATA)
+    ]
+    assert few.where(F.col("reason") == cycles.FEW).count() == 10

@@ -51,31 +51,36 @@ def measurement_name(method: Column, node: Column, metric: Column | None = None)
 
 
 def nsa_detections(
-    rates: DataFrame, selected: DataFrame, now: int, cfg: DetectorConfig
+    rates: DataFrame, selected: DataFrame, now: int, cfg: DetectorConfig, margin: int | None = None
 ) -> DataFrame:
-    """One row per instance, with its metrics (at most ``top_n``) in selection order."""
+    """One row per instance, with its metrics (at most ``top_n``) in selection order. ``margin`` is
+    what a cycle was measured to need, else the configured one."""
     listed = F.array_sort(F.collect_list(F.struct("ord", "metric")))
     names = selected.groupBy(*INSTANCE).agg(F.transform(listed, lambda m: m["metric"]).alias("names"))
     found = flagged(rates, cfg.nsa_rate_limit).join(names, [*INSTANCE])
     method = F.lit(cfg.nsa_method)
     return _detection_rows(
-        found, method, F.array_join("names", ","), measurement_name(method, F.col("instance")), now, cfg
+        found, method, F.array_join("names", ","), measurement_name(method, F.col("instance")), now, cfg, margin
     )
 
 
-def kmeans_detections(rates: DataFrame, now: int, cfg: DetectorConfig) -> DataFrame:
+def kmeans_detections(
+    rates: DataFrame, now: int, cfg: DetectorConfig, margin: int | None = None
+) -> DataFrame:
     """One row per instance and metric."""
     method = F.lit(cfg.kmeans_method)
     name = measurement_name(method, F.col("instance"), F.col("metric"))
     return _detection_rows(
-        flagged(rates, cfg.kmeans_rate_limit), method, F.col("metric"), name, now, cfg
+        flagged(rates, cfg.kmeans_rate_limit), method, F.col("metric"), name, now, cfg, margin
     )
 
 
 def _detection_rows(
-    found: DataFrame, method: Column, metrics: Column, name: Column, now: int, cfg: DetectorConfig
-) -> DataFrame:
-    slot = prediction_time(F.lit(now).cast("long"), cfg.horizon, F.lit(cfg.safety_margin))
+    found: DataFrame, method: Column, metrics: Column, name: Column, now: int, cfg: DetectorConfig,
+    margin: int | None,
+) -> DataFrame:
+    needed = F.lit(cfg.safety_margin if margin is None else margin)
+    slot = prediction_time(F.lit(now).cast("long"), cfg.horizon, needed)
     return found.select(
         F.timestamp_seconds(F.lit(now)).alias("time"),
         name.alias("measurement"),

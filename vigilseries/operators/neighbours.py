@@ -65,7 +65,6 @@ def _meet(
 ) -> DataFrame:
     """Run ``kernel(query rows, query matrix, reference rows, reference matrix)`` per meeting."""
     keys = list(keys)
-    qid = queries.schema["qid"]
     if one_block:
         zero = [F.lit(0).cast("long").alias(c) for c in ("cell", "qb", "rb")]
         both = _sides(queries, refs, keys, zero, zero)
@@ -74,7 +73,7 @@ def _meet(
     out = T.StructType(
         [
             *[queries.schema[k] for k in keys],
-            T.StructField("qid", qid.dataType),
+            T.StructField("qid", both.schema["qid"].dataType),
             *[T.StructField(name, spark_type) for name, spark_type, _ in columns],
         ]
     )
@@ -183,15 +182,19 @@ def _in_cells(q: DataFrame, r: DataFrame, keys: list[str], large: DataFrame, sea
         drawn.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("nth", "rid", "vec", "aux"))).alias("pivots")),
         "neighbour-pivots",
     )
-    key_fields = ", ".join(f"`{k}` {q.schema[k].dataType.simpleString()}" for k in keys)
+    # field by field: a name of a type does not tell what may be missing
+    typed = lambda *more: T.StructType([*[q.schema[k] for k in keys], *[T.StructField(n, t) for n, t in more]])
+    long, double, vector = T.LongType(), T.DoubleType(), T.ArrayType(T.DoubleType())
     low, high = (F.lit(x).cast("double") for x in ("inf", "-inf"))
     placed = materialise(
         _parted(r, large, keys, "rid", "r_parts").groupBy(*keys, "part")
         .cogroup(_for_parts(pivots, large, keys, "r_parts").groupBy(*keys, "part"))
         .applyInArrow(
             _place(keys, search.balls, BOUNDED),
-            f"{key_fields}, cell long, rid long, vec array<double>, aux double, n long, plain long, "
-            "reach double, radius double, low array<double>, high array<double>",
+            typed(
+                ("cell", long), ("rid", long), ("vec", vector), ("aux", double), ("n", long), ("plain", long),
+                ("reach", double), ("radius", double), ("low", vector), ("high", vector),
+            ),
         ),
         "neighbour-cells",
     )
@@ -207,11 +210,10 @@ def _in_cells(q: DataFrame, r: DataFrame, keys: list[str], large: DataFrame, sea
     )
     columns = ("cell", "plain", "reach", "radius", "low", "high")
     index = pivots.join(cells.groupBy(*keys).agg(F.collect_list(F.struct(*columns)).alias("cells")), keys)
-    qid = q.schema["qid"].dataType.simpleString()
     asked = materialise(
         _parted(q, large, keys, "qid", "q_parts").groupBy(*keys, "part")
         .cogroup(_for_parts(index, large, keys, "q_parts").groupBy(*keys, "part"))
-        .applyInArrow(_ask(keys, search), f"{key_fields}, cell long, qid {qid}, vec array<double>"),
+        .applyInArrow(_ask(keys, search), typed(("cell", long), ("qid", q.schema["qid"].dataType), ("vec", vector))),
         "neighbour-asked",
     )
     per_block = lambda n: F.ceil(n / BLOCK)

@@ -22,7 +22,7 @@ from vigilseries.functions.storage import materialise, stage_path
 from vigilseries.operators import align, detect, features, forest, gates, kmeans, nsa, select
 from vigilseries.operators import neighbours as nb
 from vigilseries.plans import oracle as o
-from vigilseries.plans import pipeline, tables
+from vigilseries.plans import cycles, pipeline, tables
 from vigilseries.sources import control, store, upserts
 from vigilseries.sources import points as source
 from vigilseries.streaming import streams
@@ -299,6 +299,9 @@ def gate_min_records(spark, sf_dir):
     return gates.enough_records(training(spark, sf_dir).series_points, GATE)
 
 
+FEW_RECORDS = 160
+
+
 @register(
     "missing_metrics_anti",
     f"SELECT {SER} FROM x_metrics EXCEPT SELECT {SER} FROM x_series WHERE sec >= {NOW - 6 * 3600} AND sec < {NOW}",
@@ -340,6 +343,30 @@ def complete_instances(spark, sf_dir):
     )
 
 
+@register(
+    "left_out",
+    f"""SELECT {SER}, '{cycles.FEW}' AS reason FROM x_series WHERE sec >= {LO} AND sec < {MID}
+      GROUP BY ALL HAVING count(*) <= {FEW_RECORDS}
+    UNION ALL SELECT application, instance, NULL, '{cycles.NO_DATA}' FROM (SELECT DISTINCT {KEY} FROM x_series WHERE sec < {NOW} EXCEPT
+      SELECT {KEY} FROM (SELECT {SER} FROM x_series WHERE sec >= {LO} AND sec < {MID} GROUP BY ALL HAVING count(*) > {FEW_RECORDS}))
+    UNION ALL SELECT {SER}, '{cycles.MISSING}' FROM (SELECT {SER} FROM x_metrics EXCEPT
+      SELECT {SER} FROM x_series WHERE sec >= {NOW - 6 * 3600} AND sec < {NOW})
+    UNION ALL SELECT application, instance, NULL, '{cycles.INCOMPLETE}' FROM (SELECT s.application, s.instance FROM x_selected s
+      LEFT JOIN (SELECT DISTINCT {SER} FROM x_series WHERE sec >= {NOW - 6 * 3600} AND sec < {NOW}) p
+      ON {o.eq('s', 'p', SER)} GROUP BY ALL HAVING count(*) <> count(p.metric))""",
+)
+def left_out(spark, sf_dir):
+    """A cycle over the last hours leaves metrics out; its record is read back. A stricter gate shows
+    what training leaves out."""
+    run = training(spark, sf_dir)
+    folder = stage_path(spark, "cycle")
+    short = replace(C, score_seconds=6 * 3600)
+    cycles.run(run.points, run.models, NOW, short, f"{folder}/store", f"{folder}/status")
+    strict = replace(C, min_records=FEW_RECORDS)
+    trained = cycles.left_out_of_training(run.points, NOW, strict)
+    return trained.unionByName(cycles.read_skipped(spark, f"{folder}/status").drop("time"))
+
+
 @register("outliers_iqr", o.IQR_PLAIN_SQL)
 def outliers_iqr(spark, sf_dir):
     wide = tables.daily_wide(spark, sf_dir)

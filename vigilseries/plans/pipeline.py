@@ -203,14 +203,16 @@ def scores(
     return _nsa_scores(rows, models, cfg, keys), kmeans.score(rows, models.kmeans, cfg, keys)
 
 
-def detections(points: DataFrame, models: Models, now: int, cfg: DetectorConfig) -> DataFrame:
+def detections(
+    points: DataFrame, models: Models, now: int, cfg: DetectorConfig, margin: int | None = None
+) -> DataFrame:
     """Detection rows of the scoring window before ``now``, all methods."""
     whole, single = scores(scoring_frame(points, models, now, cfg), models, cfg)
     found = []
     if whole is not None:
         rates = detect.nsa_window_rate(whole, cfg)
-        found.append(detect.nsa_detections(rates, models.selected, now, cfg))
+        found.append(detect.nsa_detections(rates, models.selected, now, cfg, margin))
     if single is not None:
         rates = detect.kmeans_window_rate(single, cfg)
-        found.append(detect.kmeans_detections(rates, now, cfg))
+        found.append(detect.kmeans_detections(rates, now, cfg, margin))
     return found[0] if len(found) == 1 else found[0].unionByName(found[1])

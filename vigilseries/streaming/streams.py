@@ -8,6 +8,7 @@ that are already closed.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -19,7 +20,7 @@ from vigilseries.functions.columns import INSTANCE, SERIES
 from vigilseries.functions.storage import stage_scope
 from vigilseries.operators import detect
 from vigilseries.operators.align import align_means
-from vigilseries.plans import pipeline
+from vigilseries.plans import cycles, pipeline
 from vigilseries.sources import control
 
 WINDOW_KEYS = ("application", "instance", "window_end")
@@ -82,16 +83,18 @@ def _rates(scores: DataFrame, keys: tuple[str, ...], cfg: DetectorConfig) -> Dat
 
 
 def window_detections(
-    rates: DataFrame, models: pipeline.Models, cfg: DetectorConfig
+    rates: DataFrame, models: pipeline.Models, cfg: DetectorConfig, margin: int | None = None
 ) -> DataFrame:
-    """Detection rows of scored windows; a window is reported at its end."""
+    """Detection rows of scored windows; a window is reported at its end. ``margin`` is what a batch
+    was measured to need, else the configured one."""
     listed = F.array_sort(F.collect_list(F.struct("ord", "metric")))
     names = models.selected.groupBy(*INSTANCE).agg(
         F.array_join(F.transform(listed, lambda m: m["metric"]), ",").alias("names")
     )
     nsa = F.col("method") == cfg.nsa_method
     limit = F.when(nsa, cfg.nsa_rate_limit).otherwise(cfg.kmeans_rate_limit)
-    slot = detect.prediction_time(F.col("window_end"), cfg.horizon, F.lit(cfg.safety_margin))
+    needed = F.lit(cfg.safety_margin if margin is None else margin)
+    slot = detect.prediction_time(F.col("window_end"), cfg.horizon, needed)
     return rates.join(names, [*INSTANCE]).select(
         F.timestamp_seconds("window_end").alias("time"),
         detect.measurement_name(F.col("method"), F.col("instance"), F.col("metric")).alias(
@@ -117,23 +120,31 @@ def detection_sink(
     detections_path: str,
     alerts_path: str,
     checkpoint: str,
+    status: str | None = None,
 ) -> DataStreamWriter:
-    """Every closed window is stored, flagged ones are also published as JSON messages.
+    """Every closed window is stored, flagged ones are also published as JSON messages. With a
+    ``status`` folder the longest batch so far is the margin of the next ones.
 
     Models are loaded anew for every batch, so a retrain takes effect. A batch owns its directory
     and overwrites it when it is repeated after a failure.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        models = load_models()
+        models, begun, spark = load_models(), time.monotonic(), batch.sparkSession
+        margin = cycles.margin(spark, status, cfg) if status else None
         stored = f"{detections_path}/batch={batch_id}"
         with stage_scope(batch.sparkSession):  # stage tables of the batch go once it is stored
-            rows = window_detections(score_windows(batch, models, cfg), models, cfg)
+            rows = window_detections(score_windows(batch, models, cfg), models, cfg, margin)
             rows.write.mode("overwrite").parquet(stored)
         kept = batch.sparkSession.read.schema(rows.schema).parquet(stored)
         now = F.unix_seconds("time")
         messages = detect.alerts_at(kept, now, cfg)
         messages.write.mode("overwrite").json(f"{alerts_path}/batch={batch_id}")
+        if status:
+            took = time.monotonic() - begun
+            totals = kept.agg(F.max(now), F.count(F.lit(1)), F.count_if("anomaly")).first()
+            if totals[0] is not None:  # a batch without a closed window tells nothing
+                cycles.record(spark, status, totals[0], took, totals[1], totals[2])
 
     return windows.writeStream.outputMode("append").foreachBatch(write).option(
         "checkpointLocation", checkpoint
