@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from vigilseries.config import DetectorConfig
 from vigilseries.plans import pipeline
 from vigilseries.sources.models import load_models, save_models
-from vigilseries.streaming import streams
+from vigilseries.streaming import rings, streams
 
 NOW = 720_000
 CFG = DetectorConfig(
@@ -130,7 +130,8 @@ def test_outlier_stage(spark, base):
     assert frame.agg(F.max("value")).first()[0] < 100
 
 
-def test_stream_equals_batch(spark, base, tmp_path):
+@pytest.mark.parametrize("windows", [streams.sliding_windows, rings.carried_windows])
+def test_stream_equals_batch(spark, base, tmp_path, windows):
     points, models, want = base
     source = str(tmp_path / "in")
     later = spark.createDataFrame(
@@ -143,21 +144,23 @@ def test_stream_equals_batch(spark, base, tmp_path):
     )
     means = streams.grid_mean_stream(stream, CFG)
     sink = streams.detection_sink(
-        streams.sliding_windows(means, CFG, 300),
+        windows(means, CFG, 300),
         lambda: models,
         CFG,
         str(tmp_path / "detections"),
         str(tmp_path / "alerts"),
         str(tmp_path / "checkpoint"),
     )
-    streams.run_available(sink)
+    with rings.state_store(spark):
+        streams.run_available(sink)
     stored = spark.read.parquet(str(tmp_path / "detections"))
     now = stored.where(F.unix_seconds("time") == NOW)
     assert rows_of(now) == want
     assert stored.select("time").distinct().count() > 20
     alerts = spark.read.json(str(tmp_path / "alerts"))
     assert alerts.count() == stored.where("anomaly").count() > 0
-    streams.run_available(sink)  # nothing new: nothing is written twice
+    with rings.state_store(spark):
+        streams.run_available(sink)  # nothing new: nothing is written twice
     assert spark.read.parquet(str(tmp_path / "detections")).count() == stored.count()
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -25,7 +26,7 @@ from vigilseries.plans import oracle as o
 from vigilseries.plans import cycles, pipeline, tables
 from vigilseries.sources import control, store, upserts
 from vigilseries.sources import points as source
-from vigilseries.streaming import streams
+from vigilseries.streaming import rings, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1245,14 +1246,46 @@ o.part(
 )
 
 
-@register(
-    "stream_sliding",
-    f"""SELECT {SER}, {big('window_end')} AS window_end, count(*) AS steps, {r7('sum(value)')} AS total
-    FROM x_all_mm, x_windows WHERE t >= window_end - {C.score_seconds} AND t < window_end GROUP BY ALL""",
+# Every scoring window is an instance of its own in the SQL of the batch, next to a copy of its model.
+WINDOWED = "instance || '@' || CAST(window_end AS VARCHAR)"
+MODEL_PARTS = ("x_selected", "x_vec", "x_params", "x_detectors", "x_centres", "x_limits")
+SCORE_PARTS = ("x_sc_bounds", "x_sc_spine", "x_sc_reindex", "x_sc_interp", "x_sc_aligned", "x_sc_scaled", "x_sc_diff",
+               "x_sc_smooth", "x_sc_lags", "x_sc_warm", "x_qvec", "x_near", "x_hit", "x_nsa", "x_kraw", "x_kscore")
+for name in MODEL_PARTS:
+    o.part(name.replace("x_", "xw_", 1), f"SELECT m.* REPLACE ({WINDOWED} AS instance) FROM {name} m, x_windows")
+o.part(
+    "xw_sc_mm",
+    f"""SELECT application, {WINDOWED} AS instance, metric, t, value FROM x_all_mm, x_windows
+    WHERE t >= window_end - {C.score_seconds} AND t < window_end AND ({SER}) IN (SELECT ({SER}) FROM x_gate)""",
+)
+OF_WINDOWS = "|".join(n[2:] for n in ("x_sc_mm", *SCORE_PARTS, *MODEL_PARTS))
+for name in SCORE_PARTS:
+    o.part(name.replace("x_", "xw_", 1), re.sub(rf"\bx_(?=(?:{OF_WINDOWS})\b)", "xw_", o.PARTS[name]))
+SPLIT = "split_part(instance, '@', 1) AS instance, CAST(split_part(instance, '@', 2) AS BIGINT) AS window_end"
+WINDOW_RATE = f"sum(anomaly_bit) * 100.0 / (count(*) * {C.anomaly_bit_max}) AS rate, min(t) AS window_start, max(t) AS last_step"
+o.part(
+    "x_window_rates",
+    f"""SELECT 'nsa' AS method, application, {SPLIT}, CAST(NULL AS VARCHAR) AS metric, {WINDOW_RATE} FROM xw_nsa GROUP BY ALL
+    UNION ALL SELECT 'kmeans', application, {SPLIT}, metric, {WINDOW_RATE} FROM xw_kscore GROUP BY ALL""",
 )
+o.part(
+    "x_window_flags",
+    f"SELECT *, rate >= CASE WHEN method = 'nsa' THEN {C.nsa_rate_limit} ELSE {C.kmeans_rate_limit} END AS anomaly FROM x_window_rates",
+)
+
+
+SLIDING_SQL = f"""SELECT {SER}, {big('window_end')} AS window_end, count(*) AS steps, {r7('sum(value)')} AS total
+    FROM x_all_mm, x_windows WHERE t >= window_end - {C.score_seconds} AND t < window_end GROUP BY ALL"""
+
+
+@register("stream_sliding", SLIDING_SQL)
 def stream_sliding(spark, sf_dir):
     means = streams.grid_mean_stream(point_stream(spark, sf_dir), C, f"{DELAY} seconds")
     found = landed(spark, streams.sliding_windows(means, C, SLIDE), "stream-windows")
+    return window_totals(found)
+
+
+def window_totals(found: DataFrame) -> DataFrame:
     total = F.aggregate("points", F.lit(0.0), lambda s, p: s + p["value"])
     return found.select(
         *SERIES,
@@ -1262,7 +1295,20 @@ def stream_sliding(spark, sf_dir):
     )
 
 
-@register("stream_score")
+@register("stream_carried", SLIDING_SQL)
+def stream_carried(spark, sf_dir):
+    """The same windows from state that is carried from one to the next."""
+    means = streams.grid_mean_stream(point_stream(spark, sf_dir), C, f"{DELAY} seconds")
+    with rings.state_store(spark):
+        found = landed(spark, rings.carried_windows(means, C, SLIDE), "stream-carried")
+    return window_totals(found)
+
+
+@register(
+    "stream_score",
+    f"""SELECT method, {KEY}, metric, {big('window_end')} AS window_end, {r7('rate')} AS rate,
+    {big('window_start')} AS window_start, {big('last_step')} AS last_step FROM x_window_rates""",
+)
 def stream_score(spark, sf_dir):
     models = training(spark, sf_dir).models
     means = streams.grid_mean_stream(point_stream(spark, sf_dir), C, f"{DELAY} seconds")
@@ -1270,7 +1316,11 @@ def stream_score(spark, sf_dir):
     return streams.score_windows(found, models, C)
 
 
-@register("stream_sinks")
+@register(
+    "stream_sinks",
+    """SELECT application AS application_name, method, count(*) AS stored, CAST(count_if(anomaly) AS BIGINT) AS flagged,
+    nullif(CAST(count_if(anomaly) AS BIGINT), 0) AS published FROM x_window_flags GROUP BY ALL""",
+)
 def stream_sinks(spark, sf_dir):
     models = training(spark, sf_dir).models
     path = stage_path(spark, "sinks")
@@ -1295,6 +1345,28 @@ def stream_sinks(spark, sf_dir):
     )
 
 
+@register(
+    "stream_carried_detections",
+    f"""SELECT application AS application_name, instance AS node, method, metric,
+    {big('window_end')} AS time, {r7('rate')} AS metricValue, anomaly, {big('window_start')} AS window_start,
+    {big('last_step')} AS window_end FROM x_window_flags""",
+)
+def stream_carried_detections(spark, sf_dir):
+    """Detections of every window of the stream, stored by a sink that reads carried windows."""
+    models = training(spark, sf_dir).models
+    path = stage_path(spark, "carried")
+    means = streams.grid_mean_stream(point_stream(spark, sf_dir), C, f"{DELAY} seconds")
+    windows = rings.carried_windows(means, C, SLIDE)
+    folders = [f"{path}/{name}" for name in ("detections", "alerts", "checkpoint")]
+    with rings.state_store(spark):
+        streams.run_available(streams.detection_sink(windows, lambda: models, C, *folders))
+    metric = F.when(F.col("method") == C.kmeans_method, F.col("metrics")).alias("metric")
+    return spark.read.parquet(folders[0]).select(
+        "application_name", "node", "method", metric, epoch(F.col("time")).alias("time"),
+        "metricValue", "anomaly", "window_start", "window_end",
+    )
+
+
 @register(
     "stream_late",
     f"""SELECT {SER}, t, {r7('value')} AS value FROM (SELECT {SER}, sec - sec % {C.freq} AS t, avg(value) AS value
