@@ -263,6 +263,43 @@ def test_outlier_steps_of_a_mixed_fleet(spark):
             assert 100 < want.count() < 150
 
 
+def test_outliers_in_a_task_and_by_tables_are_the_same(spark, monkeypatch):
+    """Ties, missing values, values that are no numbers, no spread, keys that are missing; sizes on
+    both sides of the bound of a task and mixed. A thousand metrics take no table per metric."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for inst, n in (("big", 120), ("small", 30), (None, 6)):
+        for t in range(n):
+            x = [float(rng.integers(0, 9)) if t % 11 else 99.0, float(rng.standard_t(2)), 4.0]
+            rows.append(("a", inst, t, x[0], None if t % 7 == 3 else x[1], float("nan") if t == 20 else x[2] + (t == 25)))
+    wide = spark.createDataFrame(rows, "application string, instance string, t long, x double, y double, z double")
+    kept = {}
+    for cells in (10**6, 200, 10):  # all in tasks, one of each, none
+        monkeypatch.setattr(gates, "CELLS_IN_TASK", cells)
+        for bounds in ({}, {"lower": {"x": 1.0}, "upper": {"y": 1.5}}):
+            for per_key in (None, 150):
+                got = gates.remove_outliers_iqr(wide, ["x", "y", "z"], **bounds, rows_per_key=per_key).collect()
+                kept.setdefault(str(bounds), []).append(sorted(str(tuple(r)) for r in got))
+    for found in kept.values():
+        assert all(f == found[0] for f in found) and 60 < len(found[0]) < 130
+
+    fleet = {"big": {f"m{i:02}": rng.standard_t(2, size=90) for i in range(4)}, "small": {"m": rng.standard_t(2, size=90)}}
+    frame, order = long(spark, fleet)
+    want = None
+    for cells in (10**6, 100, 10):
+        monkeypatch.setattr(gates, "CELLS_IN_TASK", cells)
+        got = sorted(map(tuple, gates.drop_outlier_steps(frame, order).select("instance", "metric", "t").collect()))
+        assert want in (None, got) and 100 < len(got) < 5 * 90
+        want = got
+
+    monkeypatch.setattr(gates, "CELLS_IN_TASK", 10**6)
+    monkeypatch.setattr(gates, "materialise", None)  # no table is written
+    many = {"i": {f"m{i:04}": rng.normal(size=20) for i in range(1000)}}
+    frame, order = long(spark, many)
+    left = gates.drop_outlier_steps(frame, order, steps=20).select("metric", "t")
+    assert left.count() == 1000 * left.select("t").distinct().count()
+
+
 def test_stage_tables_can_be_dropped(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(storage, "shared_folder", lambda session: str(tmp_path))
     table = storage.materialise(spark.range(3), "numbers")
