@@ -230,18 +230,28 @@ def test_retention_and_purge(spark):
 
 
 def test_csv_round_trip(spark, tmp_path):
-    rows = points.series_points(raw(spark, [point(5, value=1.5), point(7, value=float("nan"))]), "adt_")
+    """One file per series: header with the metric's name, rows in order of time, names that need quotes."""
+    odd = 'm "x", y'
+    given = [("a", "i", m, 1000 + s * 7 % 20_011, s / 4) for s in range(20_000) for m in ("adt_m", odd)]
+    given += [("a", "i", "adt_m", 7, None), (None, "j", "adt_m", 5, 1.5), (None, "j", "adt_m", 5, 1.5)]
+    rows = spark.createDataFrame(given, "application string, instance string, metric string, s long, value double")
     path = str(tmp_path / "csv")
-    store.export_metric_csv(rows, path)
-    text = "".join(p.read_text() for p in (tmp_path / "csv").rglob("*.csv"))
-    assert text.startswith("Timestamp,ems_time,value\n") and "7,7,None" in text
-    back = store.read_csv(spark, path, ["value"]).orderBy("Timestamp").collect()
-    assert [(r["metric"], r["ems_time"], r["value"]) for r in back] == [
-        ("adt_m_k", 5, 1.5), ("adt_m_k", 7, None),
+    store.export_metric_csv(rows.withColumn("ts", F.timestamp_seconds("s")).repartition(5), path)
+    files = [p.read_text().splitlines() for p in (tmp_path / "csv").rglob("*.csv")] or [
+        p.read_text().splitlines() for p in (tmp_path / "csv").rglob("*.txt")
     ]
+    assert sorted(f[0] for f in files) == sorted(
+        ["Timestamp,ems_time,adt_m", "Timestamp,ems_time,adt_m", 'Timestamp,ems_time,"m \\"x\\", y"']
+    )
+    for lines in files:
+        times = [int(line.split(",")[0]) for line in lines[1:]]
+        assert times == sorted(times)
+    assert any(lines[1] == "7,7,None" for lines in files)
+    back = store.read_metric_csv(spark, path).collect()
+    assert sorted(map(str, ((*r[:3], r["ems_time"], r["value"]) for r in back))) == sorted(map(str, given))
     with pytest.raises(ValueError, match="no rows"):
         (tmp_path / "none").mkdir()
-        store.read_csv(spark, str(tmp_path / "none"), ["value"])
+        store.read_metric_csv(spark, str(tmp_path / "none"))
 
 
 def detection(at, rate, written, node="n"):

@@ -279,7 +279,7 @@ def wide_to_long(spark, sf_dir):
 def export_metric_csv(spark, sf_dir):
     path = stage_path(spark, "metric-csv")
     store.export_metric_csv(training(spark, sf_dir).series_points, path)
-    return store.read_csv(spark, path, ["value"]).select(*SERIES, "ems_time", "value")
+    return store.read_metric_csv(spark, path).select(*SERIES, "ems_time", "value")
 
 
 # --- gates ------------------------------------------------------------------------------------

@@ -6,12 +6,12 @@ from collections.abc import Sequence
 from datetime import date
 from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vigilseries.config import DAY, DetectorConfig
-from vigilseries.functions.columns import INSTANCE, utc_day
+from vigilseries.functions.columns import INSTANCE, SERIES, utc_day
 from vigilseries.functions.storage import FileTree, materialise
 from vigilseries.sources.points import POINT_SCHEMA, in_range, read_points
 
@@ -219,30 +219,41 @@ def delete_points(spark: SparkSession, path: str, start: int, stop: int, measure
     _rewrite(spark, path, files, some, ~F.coalesce(doomed, F.lit(False)))
 
 
-def metric_csv_schema(metric: str) -> T.StructType:
-    return T.StructType(
-        [
-            T.StructField("Timestamp", T.LongType()),
-            T.StructField("ems_time", T.LongType()),
-            T.StructField(metric, T.DoubleType()),
-        ]
-    )
+CSV_KEYS = ("Timestamp", "ems_time")
+NO_KEY = "__HIVE_DEFAULT_PARTITION__"  # the directory of a missing key
 
 
 def export_metric_csv(points: DataFrame, path: str) -> None:
-    """Raw points as ``Timestamp, ems_time, value``, one directory per instance and metric."""
+    """Raw points as one file per instance and metric, in order of time, with the header
+    ``Timestamp,ems_time,<metric>``; ``None`` stands for a missing value.
+
+    A file begins with its header and is one task's, which streams through it: the layout knows one
+    file per series. Keys must not be missing for the sort of the window to be that of the writer, so
+    missing ones are named like their directory."""
+    keys = [F.coalesce(F.col(k), F.lit(NO_KEY)).alias(k) for k in SERIES]
     seconds = F.unix_seconds("ts")
-    rows = points.select(
-        *INSTANCE, "metric", seconds.alias("Timestamp"), seconds.alias("ems_time"), "value"
-    )
-    (
-        rows.hint("rebalance", *INSTANCE, "metric")
-        .write.mode("overwrite")
-        .partitionBy(*INSTANCE, "metric")
-        .option("header", True)
-        .option("nullValue", "None")
-        .csv(path)
-    )
+    line = F.to_csv(F.struct(seconds.alias("a"), seconds.alias("b"), "value"), {"nullValue": "None"})
+    rows = points.select(*keys, seconds.alias("at"), line.alias("line"))
+    first = F.row_number().over(Window.partitionBy(*SERIES).orderBy("at", "line")) == 1
+    head = F.concat(F.lit(",".join(CSV_KEYS) + ","), F.to_csv(F.struct("metric")), F.lit("\n"))
+    lines = rows.select(*SERIES, F.concat(F.when(first, head).otherwise(""), "line").alias("value"))
+    lines.write.mode("overwrite").partitionBy(*SERIES).text(path)
+
+
+def read_metric_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Points of :func:`export_metric_csv`: ``application, instance, metric, Timestamp, ems_time, value``.
+    The metric is the name in the header of the file, whatever its directory is called. Raises if there
+    is no file."""
+    lines = spark.read.schema("value string, application string, instance string, metric string").text(path)
+    lines = lines.withColumn("file", F.col("_metadata.file_path"))
+    is_head = F.startswith("value", F.lit(",".join(CSV_KEYS) + ","))
+    named = F.from_csv("value", "a string, b string, metric string")["metric"]
+    heads = materialise(lines.where(is_head).select("file", named.alias("metric")), "csv-heads")
+    if heads.isEmpty():
+        raise ValueError(f"no rows in {path}")
+    fields = F.from_csv("value", "Timestamp long, ems_time long, value double", {"nullValue": "None"})
+    rows = lines.where(~is_head).select("application", "instance", "file", fields.alias("row"))
+    return rows.join(heads, "file").select(*SERIES, "row.*")
 
 
 def export_wide_csv(wide: DataFrame, metrics: Sequence[str], path: str) -> None:
@@ -262,13 +273,10 @@ def export_wide_csv(wide: DataFrame, metrics: Sequence[str], path: str) -> None:
 
 def read_csv(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
     """A directory of exported CSV files. Raises if it holds no row."""
-    fields = [("Timestamp", "long"), ("ems_time", "long"), *[(c, "double") for c in columns]]
+    fields = [*[(k, "long") for k in CSV_KEYS], *[(c, "double") for c in columns]]
     schema = ", ".join(f"`{n}` {t}" for n, t in fields)
-    keys = "application string, instance string"
-    if list(columns) == ["value"]:
-        keys += ", metric string"
     frame = (
-        spark.read.schema(f"{schema}, {keys}")
+        spark.read.schema(f"{schema}, application string, instance string")
         .option("header", True)
         .option("nullValue", "None")
         .csv(path)
