@@ -4,6 +4,7 @@ import re
 import pytest
 
 from vigilseries.llm import html
+from vigilseries.llm.samples import plain_page
 
 
 @pytest.fixture(scope="module")
@@ -54,6 +55,47 @@ def test_furniture_is_left_out(tree, page):
     assert html.main_text(page.format(LONG), tree) == f"Title\n\n{LONG.strip()}"
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<article class='post tags-news header-large'><h1>Title</h1><p>{0}</article>",
+        "<main class='search-page'><article class='share-open related-none alert-on'><h1>Title</h1><p>{0}</article></main>",
+        "<div class='layout has-sidebar no-comments'><article><h1>Title</h1><p>{0}</article></div>",
+        "<form id=all><div class='page sidebar-left'><main id=main><h1>Title</h1><p>{0}</main></div></form>",
+        "<article><h1>Title</h1><p>{0}<article class='comment'><p>I like it</article></article>",
+        "<article><h1>Title</h1><p>{0}</article><aside><article><p>{0}</article></aside>",
+    ],
+)
+def test_names_do_not_lose_the_story(tree, page):
+    assert html.main_text(page.format(LONG), tree) == f"Title\n\n{LONG.strip()}"
+
+
+def test_tree_reads_densities_and_neighbours(tree):
+    used = {html.FEATURES[f] for f in tree.feature if f >= 0}
+    assert "density" in used and used & {"density_before", "words_before"} and used & {"density_after", "words_after"}
+    x, y = html.labelled_table()
+    plain = x[:, html.FEATURES.index("page_has_story")] == 0
+    blind = x.copy()
+    blind[:, [k for k, name in enumerate(html.FEATURES) if name.startswith("density")]] = 0
+    assert (tree.keep(blind) == (y > 0))[plain].mean() < 0.8  # densities decide where no tag does
+
+
+def test_given_pages_without_article_tags(spark, tree):
+    """At least 95 % of the blocks are the same where no tag tells where the story is."""
+    same = total = 0
+    for row in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        want = html.main_text(row.html, tree).split("\n\n")
+        got = html.main_text(re.sub(r"<(/?)article\b", r"<\1div", row.html), tree).split("\n\n")
+        same, total = same + len(set(want) & set(got)), total + len(set(want) | set(got))
+    assert total > 2000 and same / total >= 0.95
+
+
+def test_left_out_plain_pages():
+    """Plain pages that the tree was not trained on."""
+    x, y = html.labelled_table([plain_page(k) for k in range(1000, 1200)])
+    assert len(y) > 2000 and (html.train(*html.labelled_table()).keep(x) == (y > 0)).mean() > 0.97
+
+
 def test_broken_markup_and_references(tree):
     page = "<article><p>a &lt;b&gt; &amp;amp; &eacute;&#233;&#xe9; &copy x\n\t y</i> <b>z<p>1 < 2 and 3 > 2<p attr='>'>end"
     assert html.main_text(page, tree) == "a <b> &amp; ééé © x y z\n\n1 < 2 and 3 > 2\n\nend"

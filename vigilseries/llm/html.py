@@ -2,7 +2,8 @@
 
 A page becomes a flat list of text blocks. Each has its number of words and its link density, those of
 its neighbours, and what its open elements say (tags and names of classes). A decision tree, trained
-here on a small table of labelled blocks, keeps or drops every block by these numbers alone.
+here on a small table of labelled blocks, keeps or drops every block by these numbers alone. The names
+of an article's own classes do not count against it, nor do those of what surrounds a ``main`` element.
 """
 
 from __future__ import annotations
@@ -39,6 +40,9 @@ NAMED = re.compile(
     r"toolbar\w*|copyright|legal|disclaimer)(?=$|[\s_-])",
     re.I,
 )
+# Names that say what a page has or is in, not what the element is; names of single remarks (fixed values).
+STATES = re.compile(r"(?<!\S)(?:has|with|no|without|is)-\S+", re.I)
+REMARKS = re.compile(r"(?<!\S)(?:comments?|repl(?:y|ies)|comment-\d+|related|teaser)(?!\S)", re.I)
 ROLES = set("navigation banner contentinfo complementary search form alert dialog menu".split())
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][\w:-]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)|"
@@ -72,6 +76,7 @@ class _Open:
     linked: bool = False
     heading: bool = False
     item: bool = False
+    hidden: bool = False
 
 
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
@@ -155,19 +160,27 @@ def blocks(page: str) -> list[Block]:
         names = " ".join(x for m in NAMES.findall(token["rest"]) for x in m if x)
         role = ROLE.search(token["rest"])
         top = stack[-1]
+        hidden = bool(HIDDEN.search(token["rest"]))
+        centre = tag == "main" or bool(role and role[1].lower() == "main")
+        # Names on the story itself are topics and settings; on a page around it likewise.
+        if tag == "article":
+            named = bool(REMARKS.search(names))
+        else:
+            named = tag not in ("body", "html") and bool(NAMED.search(STATES.sub("", names)))
         furniture = (
             tag in FURNITURE
             or (tag == "header" and not top.story)
-            or bool(names and tag not in ("body", "html") and NAMED.search(names))
+            or (named and not centre)
             or bool(role and role[1].lower() in ROLES)
-            or bool(HIDDEN.search(token["rest"]))
+            or hidden
         )
-        story = tag in STORY or bool(role and role[1].lower() == "main")
+        story = tag in STORY or centre
         number[tag] = number.get(tag, 0) + 1
         stack.append(
             _Open(
-                tag, top.furniture or furniture, top.story or story, top.silent or tag in SILENT,
+                tag, furniture or (top.furniture and not (centre and not top.hidden)), top.story or story, top.silent or tag in SILENT,
                 top.linked or tag == "a", top.heading or tag in HEADINGS, top.item or tag == "li",
+                top.hidden or hidden,
             )
         )
     close_block()
@@ -227,7 +240,7 @@ def _gini(positive: float, n: float) -> float:
     return 2 * positive * (n - positive) / n if n else 0.0
 
 
-def train(x: np.ndarray, y: np.ndarray, depth: int = 8, least: int = 2) -> Tree:
+def train(x: np.ndarray, y: np.ndarray, depth: int = 8, least: int = 1) -> Tree:
     """A classification tree by Gini impurity; of equal splits the first feature's lowest wins."""
     tree = Tree([], [], [], [], [])
 

@@ -1,6 +1,8 @@
 """Labelled pages for the block classifier: a small table made for this purpose. Blocks of the main
 text start with ``+``, all others with ``-``."""
 
+import random
+
 _LONG = "long line of words that tells the reader what happened where and when and why it did"
 _MID = "a short remark with some words"
 
@@ -47,3 +49,65 @@ LABELLED = [
     f"<body><p>-{_LONG} {_LONG} before the story</p><article><h1>+Story</h1><p>+{_LONG}</p></article>"
     f"<div>-{_LONG} after it</div><div><a>-{_MID}</a></div></body>",
 ]
+
+
+class _Writer:
+    """Parts of a page, of lengths and shapes that vary with its number."""
+
+    def __init__(self, number: int) -> None:
+        self.rng = random.Random(number)
+
+    def words(self, least: int, most: int) -> str:
+        return " ".join(["word"] * self.rng.randint(least, most))
+
+    def links(self, mark: str) -> str:
+        many = [f"<a>{mark}{self.words(1, 4)}</a>" for _ in range(self.rng.randint(1, 6))]
+        shape = self.rng.choice(["<div>{}</div>", "<p>{}</p>", "<ul><li>{}</li></ul>"])
+        if self.rng.random() < 0.5:  # a block each
+            return "".join(shape.format(link) for link in many)
+        between = self.rng.choice([" ", " | ", f" {self.words(1, 1)} "])
+        return shape.format(between.join(many))
+
+    def paragraph(self, mark: str) -> str:
+        body = mark + self.words(*self.rng.choice([(2, 5), (4, 15), (15, 50), (50, 150), (150, 400)]))
+        if self.rng.random() < 0.3 and len(body) > 40:  # a link of at most a fifth of it
+            body += f" <a>{self.words(1, body.count(' ') // 5)}</a> {self.words(1, 3)}"
+        return self.rng.choice(["<p>{}</p>", "<p>{}</p>", "<div>{}</div>", "<li>{}</li>"]).format(body)
+
+    def mixture(self, mark: str, link_mark: str, most: int) -> str:
+        parts, since = [], 0
+        for _ in range(self.rng.randint(2, most)):
+            parts.append(self.paragraph(mark))
+            since += 1
+            if since > 1 and self.rng.random() < 0.3:
+                parts.append(self.links(link_mark))
+                since = 0
+        return "".join(parts)
+
+
+def plain_page(number: int) -> str:
+    """A page without tags or names that tell anything: menus, lists of links and links between the
+    paragraphs are dropped, a title and paragraphs of any length, some with links in them, are kept."""
+    w = _Writer(number)
+    label = f"<p>-{w.words(1, 3)}</p>"  # between lists of links
+    top = w.links("-") + (label + w.links("-") if w.rng.random() < 0.6 else "")
+    title = f"<h1>+{w.words(2, 12)}</h1>" if w.rng.random() < 0.8 else ""
+    # The last paragraph is a whole sentence: a line of a few words there may as well be a notice.
+    last = f"<p>+{w.words(8, 60)}</p>"
+    bottom = "".join(w.links("-") for _ in range(w.rng.randint(0, 2)))
+    return f"<body>{top}{title}{w.mixture('+', '-', 10)}{last}{bottom}</body>"
+
+
+def story_page(number: int) -> str:
+    """A page that says where its story is: all of it is kept, links and short lines too, but for what
+    is set apart in it; nothing else is, however long."""
+    w = _Writer(number)
+    tag = w.rng.choice(["article", "main"])
+    apart = w.rng.choice(["aside", "nav", "form", "footer"])
+    inner = f"<{apart}>{w.mixture('-', '-', 3)}</{apart}>" if w.rng.random() < 0.5 else ""
+    story = f"<h1>+{w.words(1, 12)}</h1>{w.mixture('+', '+', 5)}{inner}{w.mixture('+', '+', 3)}"
+    return f"<body>{w.mixture('-', '-', 4)}<{tag}>{story}</{tag}>{w.mixture('-', '-', 4)}</body>"
+
+
+PLAIN_PAGES, STORY_PAGES = 60, 60
+LABELLED += [plain_page(k) for k in range(PLAIN_PAGES)] + [story_page(k) for k in range(STORY_PAGES)]
