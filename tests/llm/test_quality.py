@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -32,6 +33,23 @@ def test_base_against_brute_force(spark):
     edge.same(got.collect(), [(i, *brute(t)) for i, t in texts])
 
 
+def test_long_texts_are_judged_like_short_ones(spark):
+    """A clean text of a million words is kept as its first thousand are; one of few words is not."""
+    draw = random.Random(3)
+    names = ["the", "of", "and", *(f"w{k}" for k in range(20_000))]
+    weights = [1 / (k + 1) for k in range(len(names))]
+    clean = draw.choices(names, weights, k=1_000_000)
+    dull = draw.choices(names[:60], k=50_000)
+    texts = [(1, " ".join(clean)), (2, " ".join(clean[:1000])), (3, " ".join(dull)), (4, " ".join(dull[:1000])), (5, "")]
+    rows = {r.doc_id: r for r in quality.judged(edge.rows(spark, texts)).select(
+        "row.doc_id", "n_words", "n_distinct_words", "n_repeat_words", "failed").collect()}
+    assert len(set(clean)) * 100 < 10 * len(clean)  # what a share of the whole text would reject
+    assert rows[1].failed == rows[2].failed == [] and "distinct_words" in rows[3].failed and "distinct_words" in rows[4].failed
+    words = clean
+    assert rows[1].n_distinct_words == sum(len(set(words[i : i + 1000])) for i in range(0, len(words), 1000))
+    assert rows[1].n_repeat_words == brute(texts[0][1])[4] and rows[5].n_distinct_words == 0
+
+
 def test_empty(spark):
     assert quality.accepted(edge.empty(spark)).columns == edge.empty(spark).columns
 

@@ -11,6 +11,7 @@ from vigilseries.llm.text import WORD, column, let, whole, word_array
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
+BLOCK = 1_000  # words within which different words are counted
 
 # Frequent function words of the four languages, in ASCII lower case (fixed values).
 STOP_WORDS = (
@@ -79,6 +80,17 @@ def _repeat_words(words: Column) -> Column:
     )
 
 
+def _distinct_words(words: Column) -> Column:
+    """Different words of every block of words, added up: over a whole text their share would fall
+    with its length."""
+    last = F.greatest(F.floor((F.size(words) - 1) / BLOCK).cast("int"), F.lit(0))
+    counts = F.transform(
+        F.sequence(F.lit(0), last),
+        lambda i: F.size(F.array_distinct(F.slice(words, i * BLOCK + 1, BLOCK))),
+    )
+    return F.aggregate(counts, F.lit(0), lambda total, n: total + n)
+
+
 def _metrics(text: Column) -> Column:
     def of(words: Column) -> Column:
         lines = F.filter(F.split(text, "\n"), lambda x: F.rlike(x, F.lit(WORD)))
@@ -91,7 +103,7 @@ def _metrics(text: Column) -> Column:
             _repeat_words(words).alias("n_repeat_words"),
             F.size(F.filter(words, lambda w: w.isin(STOP_FORMS))).alias("n_stop_words"),
             F.length(F.regexp_replace(text, r"\P{Lu}+", "")).alias("n_capitals"),
-            F.size(F.array_distinct(words)).alias("n_distinct_words"),
+            _distinct_words(words).alias("n_distinct_words"),
         )
 
     return let(word_array(text), of)

@@ -87,7 +87,8 @@ WITH w AS (
          coalesce(n_repeat_words, 0) AS n_repeat_words,
          len(list_filter(words, lambda x: list_contains({quality.STOP_FORMS!r}, x))) AS n_stop_words,
          length(regexp_replace(text, '\P{{Lu}}+', '', 'g')) AS n_capitals,
-         len(list_distinct(words)) AS n_distinct_words
+         coalesce(list_sum(list_transform(range(0, len(words), {quality.BLOCK}),
+             lambda i: len(list_distinct(words[i + 1:i + {quality.BLOCK}])))), 0)::BIGINT AS n_distinct_words
   FROM g LEFT JOIN again USING (doc_id)
 ), j AS (
   SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m
