@@ -109,3 +109,45 @@ def test_k_nearest_is_exact(spark, k):
     for i in range(60):
         order = np.lexsort((np.arange(400), d[i]))[:k]
         assert got[i] == [(j, d[i, j], float(j)) for j in order]
+
+
+def test_queries_move_once_where_distances_tell_nothing_apart(spark):
+    """A query that needs every cell is one row all the same; a reference is one per block of queries."""
+    q, r = (np.random.default_rng(s).random((n, 24)) for s, n in ((1, 300), (2, 700)))
+    qs, refs = frame(spark, q, "qid").drop("aux"), frame(spark, r, aux=range(700))
+    rows = neighbours.blocks(qs, refs, INSTANCE, Search(5))
+    n = rows.agg(F.count_if("is_query").alias("q"), F.count_if(~F.col("is_query")).alias("r")).first()
+    blocks = rows.where("is_query").select("cell", "qb", "rb").distinct().count()
+    assert n.q == 300 and n.r <= 700 * blocks
+    d = distances(q, r)
+    got = {(x.qid, x.rank): (x.rid, x.dist) for x in neighbours.k_nearest(qs, refs, 5).collect()}
+    for i in range(300):
+        order = np.argsort(d[i], kind="stable")[:5]
+        assert [got[i, n] for n in range(1, 6)] == [(j, d[i, j]) for j in order]
+
+
+def test_queries_of_one_pivot_are_several_blocks(spark, monkeypatch):
+    """Very many equal queries are dealt to blocks of bounded size; rows with the same key are not mixed."""
+    monkeypatch.setattr(neighbours, "MOST_QUERIES", 32)
+    q, r = np.vstack([np.ones((500, 3)), clustered(40, 1, dim=3)]), clustered(200, 2, dim=3)
+    qs = frame(spark, q, "qid").unionByName(frame(spark, q[490:], "qid", "j")).drop("aux")
+    refs = frame(spark, r).unionByName(frame(spark, r[::2], instance="j"))
+    sizes = neighbours.blocks(qs, refs, INSTANCE, Search(1)).where("is_query").groupBy(*INSTANCE, "qb").count().collect()
+    assert sum(x["count"] for x in sizes) == 590 and max(x["count"] for x in sizes) <= 3 * 32
+    found = {(x.instance, x.qid): x.near for x in neighbours.nearest(qs, refs).collect()}
+    assert all(found["i", n] == x for n, x in enumerate(distances(q, r).min(axis=1)))
+    assert all(found["j", n] == x for n, x in enumerate(distances(q[490:], r[::2]).min(axis=1)))
+
+
+@pytest.mark.parametrize("shift", [0.0, 1e6, 1e200])
+def test_matrix_product_decides_nothing_by_its_rounding(spark, shift):
+    """Far from the origin the product is inexact: distances are still those of the differences."""
+    q, r = (np.random.default_rng(s).integers(0, 3, (150, 4)) + shift for s in (1, 2))
+    q, r = q * (1 + (shift > 1e100) * np.random.default_rng(3).random((150, 1))), r + 0.0
+    qs, refs = frame(spark, q, "qid").drop("aux"), frame(spark, r, aux=range(150))
+    with np.errstate(over="ignore", invalid="ignore"):
+        d = distances(q, r)
+    got = {(x.qid, x.rank): (x.rid, x.dist) for x in neighbours.k_nearest(qs, refs, 3).collect()}
+    for i in range(150):
+        order = [j for j in np.lexsort((np.arange(150), d[i])) if np.isfinite(d[i, j])][:3]
+        assert [got[i, n + 1] for n in range(len(order))] == [(j, d[i, j]) for j in order]
