@@ -105,6 +105,23 @@ def test_seed_tree_in_a_task_and_by_level(spark, mode):
     assert max(r["cand"] for r in a) == 2 ** nsa.tree_levels(170) - 2
 
 
+def test_seed_tree_ends_in_a_task_where_nodes_fit(spark, monkeypatch):
+    """Levels are shared out only until the nodes of an instance fit a task; the tree stays the same."""
+    tables, rows = [], points(spark, np.random.default_rng(4).random((700, 3)).round(2))
+    rows = rows.unionByName(points(spark, np.random.default_rng(5).random((90, 3)), instance="small"))
+    write = nsa.materialise
+    monkeypatch.setattr(nsa, "materialise", lambda df, name: tables.append(name) or write(df, name))
+    found = [nsa.seeds(rows, "corners", None)]
+    assert not [t for t in tables if t.startswith("tree-values")]
+    for most, levels in ((200, 2), (100, 3), (10, 4)):
+        tables.clear()
+        monkeypatch.setattr(nsa, "TREE_ROWS", most)
+        found.append(nsa.seeds(rows, "corners", None))
+        assert sum(t.startswith("tree-values") for t in tables) == levels
+    one, *others = [sorted((r.instance, r.cand, tuple(r.centre)) for r in f.collect()) for f in found]
+    assert len(one) > 2 ** nsa.tree_levels(700) - 8 and all(other == one for other in others)
+
+
 def model_of(spark, vectors, cfg=CFG, max_points=2000):
     rows = points(spark, vectors).withColumnRenamed("rid", "t")
     return nsa.train(rows, cfg, len(vectors[0]), max_points)

@@ -34,6 +34,7 @@ from vigilseries.operators.neighbours import (
 )
 
 LEAF_ROWS = 40  # fixed value: rows per leaf at which the seed tree stops splitting
+TREE_ROWS = 65_536  # rows of a node from which a task finishes the seed tree
 RANDOM_CANDIDATE = 1_000_000_000  # candidates from here on are random, smaller ones are tree nodes
 
 
@@ -102,10 +103,13 @@ def tree_levels(n: int) -> int:
     return int(math.log2(max(1.0, (n - 1) / LEAF_ROWS)) + 1)
 
 
-def _tree_nodes(x: np.ndarray, rid: np.ndarray, mode: str) -> list[tuple[int, np.ndarray]]:
-    """(node, lower corner or centroid) of a median-split tree, halves by the widest dimension."""
-    inner = 2 ** (tree_levels(len(x)) - 1) - 1
-    nodes, todo = [], [(0, np.arange(len(x)))]
+def _tree_nodes(
+    x: np.ndarray, rid: np.ndarray, mode: str, root: int = 0, levels: int | None = None
+) -> list[tuple[int, np.ndarray]]:
+    """(node, lower corner or centroid) of a median-split tree, halves by the widest dimension; of
+    the part below ``root``, if that is not the root of a tree with so many ``levels``."""
+    inner = 2 ** ((tree_levels(len(x)) if levels is None else levels) - 1) - 1
+    nodes, todo = [], [(root, np.arange(len(x)))]
     for node, rows in todo:
         low = x[rows].min(axis=0)
         nodes.append((node, low if mode == "corners" else x[rows].mean(axis=0)))
@@ -132,9 +136,12 @@ def seeds(selves: DataFrame, mode: str, max_points: int | None = None) -> DataFr
     return nodes.groupBy(*INSTANCE, "centre").agg(F.min("cand").alias("cand"))
 
 
-def _seed_task(mode: str):
+def _seed_task(mode: str, below: bool = False):
+    """Nodes of an instance, or of what is ``below`` a node of its tree."""
+
     def compute(table: pa.Table) -> pa.Table:
-        nodes = _tree_nodes(list_matrix(table["vec"]), table["rid"].to_numpy(), mode)
+        place = [table[c][0].as_py() for c in ("node", "levels")] if below else []
+        nodes = _tree_nodes(list_matrix(table["vec"]), table["rid"].to_numpy(), mode, *place)
         key = [table[c][0].as_py() for c in INSTANCE]
         return pa.table(
             {
@@ -149,25 +156,32 @@ def _seed_task(mode: str):
 
 
 def _seeds_by_level(selves: DataFrame, mode: str) -> DataFrame:
-    """The same tree for instances too large for one task. A level finds the value in the middle of
-    every node and, where several points have it, the identifier in the middle of those; a point
-    then knows its side by comparing. Nodes are never ordered as a whole. Identifiers are unique."""
+    """The same tree for instances that may be too large for one task. A level finds the value in the
+    middle of every node and, where several points have it, the identifier in the middle of those; a
+    point then knows its side by comparing. No node is ordered as a whole until its rows fit a task,
+    which does what is below it. Identifiers are unique."""
     points = materialise(
         selves.select(*INSTANCE, "rid", "vec", F.lit(0).cast("long").alias("node")), "tree"
     )
     sizes = points.groupBy(*INSTANCE).agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d"))
-    largest = sizes.agg(F.max("n"), F.max("d")).first()
+    schema = "application string, instance string, cand long, centre array<double>"
+    fits = F.ceil(F.log2(F.greatest(F.lit(1.0), F.col("n") / max(1, min(TREE_ROWS, IN_MEMORY_ROWS))))).cast("long")
+    largest = sizes.agg(F.max("n"), F.max("d"), F.max(fits)).first()
     if largest[0] is None:
-        return selves.sparkSession.createDataFrame(
-            [], "application string, instance string, cand long, centre array<double>"
-        )
-    depth, dim = tree_levels(largest[0]), largest[1]
+        return selves.sparkSession.createDataFrame([], schema)
+    depth, dim, last = tree_levels(largest[0]), largest[1], largest[2]
     per_instance = F.floor(
         F.log2(F.greatest(F.lit(1.0), (F.col("n") - 1) / LEAF_ROWS)) + 1
     ).cast("long")
-    limits = sizes.select(*INSTANCE, per_instance.alias("levels"))
+    limits = materialise(sizes.select(*INSTANCE, per_instance.alias("levels"), fits.alias("fits")), "tree-limits")
     found = None
     for level in range(depth):
+        rest = points.join(limits.where(F.col("fits") == level).select(*INSTANCE, "levels"), [*INSTANCE])
+        done = rest.groupBy(*INSTANCE, "node").applyInArrow(_seed_task(mode, below=True), schema)
+        found = done if found is None else found.unionByName(done)
+        if level == last:
+            break
+        points = points.join(limits.where(F.col("fits") > level).select(*INSTANCE), [*INSTANCE])
         low = F.array(*[F.min(F.get("vec", F.lit(j))) for j in range(dim)])
         high = F.array(*[F.max(F.get("vec", F.lit(j))) for j in range(dim)])
         mean = F.array(*[F.avg(F.get("vec", F.lit(j))) for j in range(dim)])
@@ -180,7 +194,7 @@ def _seeds_by_level(selves: DataFrame, mode: str) -> DataFrame:
         centre = F.col("low") if mode == "corners" else F.col("mean")
         known = lambda a: F.filter(a, lambda x: x.isNotNull())
         level_nodes = bounds.select(*INSTANCE, F.col("node").alias("cand"), known(centre).alias("centre"))
-        found = level_nodes if found is None else found.unionByName(level_nodes)
+        found = found.unionByName(level_nodes)
         if level == depth - 1:
             break
         spread = F.zip_with("high", "low", lambda a, b: a - b)
@@ -215,7 +229,7 @@ def _seeds_by_level(selves: DataFrame, mode: str) -> DataFrame:
             sided.join(told, [*node, "salt"]).select(*INSTANCE, "rid", "vec", child.alias("node")),
             f"tree-{level}",
         )
-    return found
+    return materialise(found, "tree-nodes")  # read by several stages
 
 
 def random_units(spark: SparkSession, count: int, dim: int, seed: int) -> DataFrame:
