@@ -1,6 +1,7 @@
 """The metric index: exact results, and meetings that grow slower than with the square of the rows."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,3 +152,20 @@ def test_matrix_product_decides_nothing_by_its_rounding(spark, shift):
     for i in range(150):
         order = [j for j in np.lexsort((np.arange(150), d[i])) if np.isfinite(d[i, j])][:3]
         assert [got[i, n + 1] for n in range(len(order))] == [(j, d[i, j]) for j in order]
+
+
+@pytest.mark.parametrize("shift", [0.0, 1e7])
+def test_few_pairs_are_measured_wherever_the_vectors_lie(shift, monkeypatch):
+    """The product is taken around the middle of the queries, so its rounding does not grow with their values."""
+    measured, measure = [], neighbours._pair_distances
+    monkeypatch.setattr(neighbours, "_pair_distances", lambda q, r, i, j: measured.append(len(i)) or measure(q, r, i, j))
+    lists = lambda a: pa.array(a.tolist(), pa.list_(pa.float64()))
+    q, r = (np.random.default_rng(s).random((200, 8)) + shift for s in (1, 2))
+    d = distances(q, r)
+    block = neighbours._Block(Search(3))
+    marks = pa.array([[-1] * neighbours.WORDS] * 200, pa.list_(pa.int64()))
+    block.parts.append(pa.table({"qid": range(200), "vec": lists(q), "within": np.sort(d, axis=1)[:, 2], "needs": marks}))
+    block.meet(pa.table({"at": [0] * 200, "vec": lists(r), "rid": range(200), "aux": np.zeros(200)}))
+    assert sum(measured) < 4 * 200
+    assert (block.rid == np.argsort(d, axis=1, kind="stable")[:, :3]).all()
+    assert (np.sqrt(block.d2) == np.sort(d, axis=1)[:, :3]).all()

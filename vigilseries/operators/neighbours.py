@@ -392,7 +392,9 @@ class _Block:
         self.rows = pa.concat_tables(self.parts)
         self.parts = []
         self.x = list_matrix(self.rows["vec"])
-        self.norm = (self.x * self.x).sum(axis=1)
+        middle = self.x.mean(axis=0)
+        self.middle = np.where(np.isfinite(middle), middle, 0.0)
+        self.norm, self.short = self._shortened(self.x)
         self.bound = self.rows["within"].to_numpy() ** 2 * (1 + 1e-9)  # squared; rounding of the root
         self.needs = list_matrix(self.rows["needs"])
         n, k = len(self.x), self.search.k
@@ -401,6 +403,13 @@ class _Block:
         self.own = self.rows["qid"].to_numpy() if self.search.skip_same else None
         self.rows = self.rows.drop_columns(["vec", "within", "needs"])
 
+    def _shortened(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Squared norms around the middle, and rows in single precision with their norm and a one."""
+        with np.errstate(over="ignore", invalid="ignore"):
+            x = x - self.middle
+            norm = (x * x).sum(axis=1)
+            return norm, np.column_stack([x, norm, np.ones(len(x))]).astype(np.float32)
+
     def meet(self, refs: pa.Table) -> None:
         """References in the order of their cells."""
         if self.rows is None:
@@ -415,25 +424,28 @@ class _Block:
                 self._meet_cell(cell >= MOST_PIVOTS, asking, r[few], rid[few], aux[few])
 
     def _meet_cell(self, balls: bool, asking: np.ndarray, r: np.ndarray, rid: np.ndarray, aux: np.ndarray) -> None:
-        """A product of matrices tells which pairs may matter; those are measured exactly."""
-        turned, norm = -2 * r.T, (r * r).sum(axis=1)
-        longest = np.sqrt(norm.max())
+        """A product of matrices in single precision, around the middle of the queries, tells which pairs
+        may matter; those are measured exactly."""
+        norm, short = self._shortened(r)
+        short[:, -2:] = short[:, :-3:-1]
+        turned, longest = (short * np.float32([*[-2] * r.shape[1], 1, 1])).T, np.sqrt(norm.max())
         radius = np.where(aux > 0, aux, 0.0)
         for i in range(0, len(asking), 512):
             of = asking[i : i + 512]
             if balls:
                 of = of[~self.hit[of]]
             x = self.x[of]
-            # more than the rounding of the product and of the sums
-            slack = 1e-15 * (len(r.T) + 8) * (np.sqrt(self.norm[of]) + longest) ** 2 + 1e-300
-            if np.isfinite(slack).all():
-                about = x @ turned
-                about += norm
-                slack -= self.norm[of]
+            # more than the rounding of the numbers, the product and the comparison
+            slack = 2.5e-7 * (len(r.T) + 8) * (np.sqrt(self.norm[of]) + longest) ** 2 + 1e-30
+            if (slack < 1e30).all():
+                reach = radius * radius * (1 + 1e-9) if balls else self.bound[of][:, None]
+                with np.errstate(over="ignore"):
+                    reach = (reach + slack[:, None]).astype(np.float32)
+                close = self.short[of] @ turned <= reach
             else:
-                about, slack = squared_distances(x, r), np.zeros(len(of))
-            reach = radius * radius * (1 + 1e-9) if balls else self.bound[of][:, None]
-            row, col = np.nonzero(about <= reach + slack[:, None])
+                about = squared_distances(x, r)
+                close = about <= (radius * radius * (1 + 1e-9) if balls else self.bound[of][:, None])
+            row, col = np.divmod(np.flatnonzero(close), len(r))
             if not len(row):
                 continue
             d2 = _pair_distances(x, r, row, col)
