@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vigilseries.config import DetectorConfig, FeatureShape
+from vigilseries.functions import quantiles
 from vigilseries.operators import detect, kmeans, neighbours, nsa
 
 CFG = DetectorConfig(freq=60)
@@ -88,6 +89,24 @@ def test_threshold_is_the_percentile_of_second_nearest(spark, monkeypatch, block
     ]
 
 
+def test_threshold_searches_once(spark, monkeypatch):
+    """However often a percentile reads the distances, the points meet in one of its stage tables."""
+    searches, write = [], quantiles.materialise
+
+    def noted(df, name):
+        if "InArrow" in df._jdf.queryExecution().optimizedPlan().toString():
+            searches.append(name)
+        return write(df, name)
+
+    for module in (nsa, quantiles):
+        monkeypatch.setattr(module, "materialise", noted)
+    v = np.random.default_rng(8).random((60, 2))
+    once = neighbours.distinct_points(points(spark, v))
+    got = nsa.threshold(once, 95.0, None).first()["threshold"]
+    assert got == pytest.approx(np.percentile(np.sort(brute(v, v), axis=1)[:, 1], 95))
+    assert len(searches) == 1
+
+
 @pytest.mark.parametrize("mode", ["corners", "centroids"])
 def test_seed_tree_in_a_task_and_by_level(spark, mode):
     rng = np.random.default_rng(3)
@@ -245,6 +264,26 @@ def test_prediction_combines_the_rules(spark):
     assert [r["anomalous"] for r in got] == [False, True, True]
 
 
+def test_tuning_prediction_meets_detectors_only(spark, monkeypatch):
+    """No normal point is a reference; queries of a model without detectors have their row."""
+    rows = points(spark, np.random.default_rng(9).random((90, 2)))
+    rows = rows.unionByName(points(spark, [[0.2, 0.2], [0.4, 0.2]], instance="bare"))
+    model = nsa.train(rows.withColumnRenamed("rid", "t"), replace(CFG, max_detectors=30), 2)
+    model = replace(model, detectors=model.detectors.where("instance = 'i'"))
+    refs, search = [], nsa.nearest
+    monkeypatch.setattr(nsa, "nearest", lambda q, r, **more: refs.append(r) or search(q, r, **more))
+    asked = np.random.default_rng(10).random((40, 2)) * 3 - 1
+    both = points(spark, asked).unionByName(points(spark, asked, instance="bare"))
+    got = {(x["instance"], x["qid"]): x["anomalous"] for x in nsa.tuning_prediction(queries(both), model).collect()}
+    assert refs[0].where("aux is null").count() == 0
+    balls = model.detectors.collect()
+    inside = (brute(asked, [b["centre"] for b in balls]) < [b["radius"] for b in balls]).any(axis=1)
+    far = np.sqrt((asked**2).sum(axis=1)) > np.sqrt(2) * (1 + np.sqrt(2) * CFG.self_percentage)
+    assert inside.any() and far.any() and not (inside | far).all()
+    assert [got["i", n] for n in range(40)] == list(inside | far)
+    assert [got["bare", n] for n in range(40)] == list(far)
+
+
 def test_tuning(spark):
     known = spark.createDataFrame(
         [("a", "i", 2, 0.1, 0.1)],

@@ -76,6 +76,7 @@ def threshold(
         return weighted.groupBy(*INSTANCE).agg(
             F.percentile("near", F.lit(percentile / 100), F.col("n")).alias("threshold")
         )
+    weighted = materialise(weighted, "nearest-others")  # read several times, searched once
     return weighted_percentile(weighted, percentile / 100).withColumnRenamed("q", "threshold")
 
 
@@ -485,15 +486,26 @@ def outside(vec: Column, dim: Column, self_radius: Column) -> Column:
     return vector_norm(vec) > F.sqrt(dim * edge * edge)
 
 
+def _balls(model: NsaModel) -> DataFrame:
+    return model.detectors.select(
+        *INSTANCE, F.col("det_id").cast("long").alias("rid"), F.col("centre").alias("vec"),
+        F.col("radius").alias("aux"),
+    )
+
+
 def _balls_and_points(model: NsaModel) -> DataFrame:
     normal = model.self_points.select(
         *INSTANCE, "rid", "vec", F.lit(None).cast("double").alias("aux")
     )
-    balls = model.detectors.select(
-        *INSTANCE, F.col("det_id").cast("long").alias("rid"), F.col("centre").alias("vec"),
-        F.col("radius").alias("aux"),
-    )
-    return normal.unionByName(balls)
+    return normal.unionByName(_balls(model))
+
+
+def _judgeable(queries: DataFrame, model: NsaModel) -> DataFrame:
+    """Queries that have the model's dimension, with its parameters and the outer bound in ``qid``."""
+    carried = queries.join(model.params, [*INSTANCE]).where(F.size("vec") == F.col("dim"))
+    beyond = outside(F.col("vec"), F.col("dim"), F.col("self_radius"))
+    bag = F.struct("qid", "dim", "self_radius", "threshold", beyond.alias("beyond"))
+    return carried.select(*INSTANCE, bag.alias("qid"), "vec")
 
 
 def match(
@@ -506,13 +518,10 @@ def match(
     """For every query (``qid, vec``): ``near`` (distance to the nearest normal point), ``hit``
     (inside a detector), ``beyond`` (outer bound) and the model's parameters. Queries whose vector
     does not have the model's dimension (a selected metric has no data) are left out."""
-    carried = queries.join(model.params, [*INSTANCE]).where(F.size("vec") == F.col("dim"))
-    beyond = outside(F.col("vec"), F.col("dim"), F.col("self_radius"))
-    bag = F.struct("qid", "dim", "self_radius", "threshold", beyond.alias("beyond"))
     known = max_points is not None and max_detectors is not None  # else the rows are counted
     max_refs = max_points + max_detectors if known else None
     found = nearest(
-        carried.select(*INSTANCE, bag.alias("qid"), "vec"),
+        _judgeable(queries, model),
         _balls_and_points(model),
         max_queries=max_queries,
         max_refs=max_refs,
@@ -611,9 +620,17 @@ def predict(
 def tuning_prediction(
     queries: DataFrame, model: NsaModel, max_points: int | None = None
 ) -> DataFrame:
-    """Detectors and outer bound only."""
-    return match(queries, model, max_points, max_points).select(
-        *INSTANCE, "qid", "self_radius", (F.col("hit") | F.col("beyond")).alias("anomalous")
+    """Detectors and outer bound only: no query meets a normal point. Every model has a ball of radius
+    0 besides, which holds nothing, so that a query without detectors has its row."""
+    empty = model.params.select(
+        *INSTANCE, F.lit(-1).cast("long").alias("rid"),
+        F.array_repeat(F.lit(0.0), F.col("dim").cast("int")).alias("vec"), F.lit(0.0).alias("aux"),
+    )
+    found = nearest(
+        _judgeable(queries, model), _balls(model).unionByName(empty), max_queries=max_points
+    )
+    return found.select(
+        *INSTANCE, "qid.qid", "qid.self_radius", (F.col("hit") | F.col("qid.beyond")).alias("anomalous")
     )
 
 
