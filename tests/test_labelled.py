@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tests.test_models import points
+from tests.test_models import points, queries
 from vigilseries.functions.columns import INSTANCE
 from vigilseries.operators import neighbours, nsa
 from vigilseries.plans import catalog
@@ -62,3 +62,10 @@ def test_tuning_holds_every_query_once(spark, met):
     tuned = nsa.tune(model, rows, rows)
     assert tuned.where("det_id is null").count() == 0  # every missed one is a known point itself
     assert met[-1].count() > 100 and most_rows(met[-1:]) == 1
+
+
+@pytest.mark.parametrize("balls", [3, 100])
+def test_tuning_prediction_holds_every_query_once(spark, met, balls):
+    rows, model = uniform_model(spark, balls)
+    assert nsa.tuning_prediction(queries(rows), model).count() == 300
+    assert most_rows(met) == 1
